@@ -106,7 +106,7 @@ def scan(text: bytes | None, a: ahocorasick.Automaton, entries: list) -> tuple[i
 
 def spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Byte offsets in the original text of runs of words."""
-    at = [m.span() for m in _WORD.finditer(text)]
+    at = [m.span() for m in _WORD.finditer(text.lower())]
     return [(at[a][0], at[b - 1][1]) for a, b in runs]
 
 

@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from setwise.llm import common
 
@@ -336,16 +337,18 @@ def score(docs: DataFrame, model: tuple[DataFrame, dict[str, np.ndarray], int, i
     common.bounded_batches(spark)
     counts, arrays, total, distinct = model
     shared = spark.sparkContext.broadcast(arrays)
-    docs = docs.withColumn("_row", F.monotonically_increasing_id())
+    # a row keeps its number within this one job only; its own columns travel with it
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "text", F.struct(F.col("doc_id"), *keep).alias("own"))
+    own_type = rows.schema["own"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(mapped(shared.value))
         of = _Memory(trie).__getitem__
         log = np.log10(trie.count + ADD)
         for b in batches:
-            rows = b.column("row").to_pylist()
+            numbers = b.column("row").to_pylist()
             ids, lengths, rare_row, rare_hash, rare_n = [], [], [], [], []
-            for row, text in zip(rows, common.raw(b.column("text")), strict=True):
+            for row, text in zip(numbers, common.raw(b.column("text")), strict=True):
                 w = [*common.words(text), END]
                 x = list(map(of, w))
                 if -1 in x:
@@ -355,7 +358,7 @@ def score(docs: DataFrame, model: tuple[DataFrame, dict[str, np.ndarray], int, i
                     rare_n += rare.values()
                 ids += x
                 lengths.append(len(w))
-            if not rows:
+            if not numbers:
                 continue
             x = np.array(ids, np.int64)
             begin = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
@@ -364,29 +367,26 @@ def score(docs: DataFrame, model: tuple[DataFrame, dict[str, np.ndarray], int, i
             s = np.add.reduceat(trie.score(x, first), begin)
             base = np.add.reduceat(np.where(x >= 0, log[np.maximum(x, 0)] if len(log) else 0.0, 0.0), begin)
             known = np.add.reduceat((x >= 0).astype(np.int64), begin)
-            k, m = len(rows), len(rare_row)
-            h = np.array(rare_hash, np.uint64).view(np.int64)
             # a row's own sums travel with the rare words, under a hash of the row that spreads them
-            own = np.array([xxhash.xxh64_intdigest(r.to_bytes(8, "little")) for r in rows], np.uint64).view(np.int64)
-            zero = np.zeros(m)
-            yield pa.record_batch(
-                [pa.array(np.concatenate((np.array(rows, np.int64), np.array(rare_row, np.int64)))), pa.array(np.concatenate((own, h))), pa.array(np.concatenate((np.zeros(k, np.int32), np.array(rare_n, np.int32)))), pa.array(np.concatenate((np.array(lengths, np.int64), np.zeros(m, np.int64)))), pa.array(np.concatenate((known, np.zeros(m, np.int64)))), pa.array(np.concatenate((base, zero))), pa.array(np.concatenate((s, zero)))],
-                names=["row", "h", "n", "tokens", "known", "base", "score"],
-            )
-
-    # rows keep their number from here to the end: it is given before the split and written down
-    numbered = common.materialize(docs.select(F.col("_row").alias("row"), "doc_id", *keep), "rows")
-    parts = docs.select(F.col("_row").alias("row"), "text").mapInArrow(run, "row long, h long, n int, tokens long, known long, base double, score double")
+            own = np.array([xxhash.xxh64_intdigest(r.to_bytes(8, "little")) for r in numbers], np.uint64).view(np.int64)
+            names = ["row", "h", "n", "tokens", "known", "base", "score", "own"]
+            yield pa.record_batch([pa.array(numbers, pa.int64()), pa.array(own), pa.array([0] * len(numbers), pa.int32()), pa.array(lengths, pa.int64()), pa.array(known), pa.array(base), pa.array(s), b.column("own")], names=names)
+            if rare_row:
+                m = len(rare_row)
+                none = [pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), b.column("own").type)]
+                yield pa.record_batch([pa.array(rare_row, pa.int64()), pa.array(np.array(rare_hash, np.uint64).view(np.int64)), pa.array(rare_n, pa.int32()), *none], names=names)
+
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("h", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("own", own_type)])
+    parts = rows.mapInArrow(run, schema)
     norm = float(np.log10(max(total + ADD * (distinct + 1), ADD)))
-    joined = parts.join(counts, "h", "left")
     c, n = F.coalesce("c", F.lit(0)), F.col("n")
     rare = n * F.log10(c + ADD)
-    sums = joined.groupBy("row").agg(
-        F.sum("tokens").alias("n_tokens"), (F.sum("known") + F.sum(F.when(c > 0, n).otherwise(0))).alias("n_known"),
+    sums = parts.join(counts, "h", "left").groupBy("row").agg(
+        F.first("own", ignorenulls=True).alias("own"), F.sum("tokens").alias("n_tokens"), (F.sum("known") + F.sum(F.when(c > 0, n).otherwise(0))).alias("n_known"),
         (F.sum("base") + F.sum(rare)).alias("base"), (F.sum("score") + F.sum(rare - n * norm)).alias("score"),
     )
-    out = numbered.join(sums, "row")
-    return out.select("doc_id", *[c for c in numbered.columns if c not in ("row", "doc_id")], "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * norm).alias("base_score"), "score")
+    names = [f.name for f in own_type.fields]
+    return sums.select(*(F.col("own")[x].alias(x) for x in names), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * norm).alias("base_score"), "score")
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ KEY = "surrogates-1"
 _B, _E = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "secret": r"""(?<=(?:password|passwd|secret|token|api_key)(?:=|="|: | = "|: "))[0-9A-Za-z_/+.-]{8,}""",
+    "secret": r"""(?<=(?i:password|passwd|secret|token|api_key)(?:=|="|: | = "|: "))[0-9A-Za-z_/+.-]{8,}""",
     "key": _B + r"AKIA[0-9A-Z]{16}" + _E,
     "iban": _B + r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?" + _E,
     "card": _B + r"[3-6][0-9]{3}(?:[ -]?[0-9]{4}){3}" + _E,
@@ -37,7 +37,7 @@ KINDS = {
 }
 PATTERN = "|".join(f"(?:{x})" for x in KINDS.values())
 #: What every entity has: texts without it are passed on at once.
-HINT = r"[0-9@]|password|passwd|secret|token|api_key|Mr|Ms|Frau|Herr|Señor|Madame|Monsieur"
+HINT = r"[0-9@]|(?i:password|passwd|secret|token|api_key)|Mr|Ms|Frau|Herr|Señor|Madame|Monsieur"
 #: Rounds of the collision check at most; each makes what is left a vanishing part of what was.
 ROUNDS = 12
 _SYLLABLES = {"latin": ["al", "be", "cor", "da", "el", "fi", "gan", "ho", "is", "ju", "ka", "lor", "mi", "na", "os", "ru"], "cyrillic": ["ал", "бе", "вор", "да", "ел", "фи", "ган", "го", "ис", "ка", "лор", "ми", "на", "ос", "ру", "те"], "greek": ["αλ", "βε", "γορ", "δα", "ελ", "φι", "καν", "λο", "ις", "μα", "νορ", "πι", "ρα", "ος", "τυ", "σε"]}

@@ -1,23 +1,27 @@
-"""SentencePiece encoding and decoding by a max-plus parallel scan.
+"""SentencePiece encoding and decoding, giant documents by a max-plus parallel scan.
 
-A text, with a mark for each space and one in front, is cut into vocabulary pieces of the highest total score; of
-equal ones the piece that starts earliest wins at each end. Characters without a piece cost a fixed penalty and are
-written as bytes. Decoding restores the text exactly.
+The model merges pairs: in a text with a mark for each space and one in front, the adjacent symbols whose joint piece
+has the highest score merge first, the leftmost of equal ones. Characters without a piece are written as bytes. The ids
+are those of the model's own library; decoding restores every text that has no mark character (U+2581) of its own,
+which stands for a space, as in the library.
 
-Short documents are solved unit by unit: no piece goes on past a mark that follows another character, so the units
-between such marks are independent and their answers are remembered. Documents of more than CHUNK characters are
-split: every chunk yields a matrix of best scores from the states at its start (characters since the last cut) to
-those at its end; these combine associatively under (max, +) into the scores at each chunk's start; each chunk then
-tells which state at its start each state at its end comes from, and these maps compose to one state per boundary;
-last, each chunk is traced back alone. Chunks are rows of their own, so a giant document is shared by many tasks.
+No piece goes on past a mark that follows another character, so the units between such cuts are independent, and short
+units' answers are remembered. That settles documents of up to CHUNK characters.
+
+Longer documents are split into chunks, rows of their own, so that many tasks share a giant. A sequence of pieces is
+the answer for a text just when each adjacent pair is the answer for its own two pieces; so an answer is a path of
+weight 0 where pairs that aren't weigh minus infinity. A state at a boundary tells where the last piece that ended
+at or before it ended, and how long it was (0 at a cut, where nothing before counts). Every chunk yields the matrix of
+best weights from the states at its start to those at its end. Under (max, +) these combine associatively from both
+ends of the text: the one state of weight 0 at each boundary is the path's. Last, each chunk is traced back alone.
 
 Null and empty texts have no pieces. Rows with the same doc_id are each encoded alone. The vocabulary is a file that
-each executor has at the given path. Its scores say what the best cut is; for a model whose own algorithm merges pairs
-the ids can differ from those of its library, the decoded text cannot.
+each executor has at the given path.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -33,6 +37,7 @@ CHUNK = 1 << 15
 REMEMBERED, REMEMBERED_CHARS = 300_000, 64
 MARK = "▁"
 _UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+_CUT = re.compile(f"[^{MARK}](?={MARK})")
 _NONE = -np.inf
 
 
@@ -43,66 +48,74 @@ class Vocabulary:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         special = {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)}
-        self.piece = {sp.id_to_piece(i): (sp.get_score(i), i) for i in range(n) if i not in special}
-        self.longest = max(map(len, self.piece))
-        self.missing = min(s for s, _ in self.piece.values()) - 10
+        self.score = {sp.id_to_piece(i): sp.get_score(i) for i in range(n) if i not in special}
+        self.id = {sp.id_to_piece(i): i for i in range(n) if i not in special}
+        self.longest = max(map(len, self.score))
         self.byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.unknown = sp.unk_id()
         self.text = [b"" if i in special else sp.id_to_piece(i).replace(MARK, " ").encode() for i in range(n)]
         for b, i in self.byte.items():
             self.text[i] = bytes([b])
-        # a piece that goes on past a mark after another character would make units depend on each other
-        self.cuts = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.piece)
-        self.memory: dict[str, tuple[float, bytes]] = {}
-
-    def spell(self, chars: str) -> list[int]:
-        """The ids of one piece or, without one, of the bytes of a character."""
-        found = self.piece.get(chars)
-        return [found[1]] if found else [self.byte.get(b, self.unknown) for b in chars.encode()]
-
-    def forward(self, text: str, begin: np.ndarray | list[float], offset: int) -> tuple[list, list[int]]:
-        """Best scores up to each position and where the last piece starts; positions up to offset begin as given."""
-        n, get, most = len(text), self.piece.get, self.longest
-        best, start = [*begin, *[_NONE] * (n - offset)], [-1] * (n + 1)
-        for s in range(n):
-            here = best[s]
-            if here == _NONE:
-                continue
-            for e in range(max(s, offset) + 1, min(s + most, n) + 1):
-                found = get(text[s:e])
-                score = here + (found[0] if found else self.missing if e == s + 1 else _NONE)
-                if score > best[e]:
-                    best[e], start[e] = score, s
-        return best, start
-
-    def unit(self, unit: str) -> tuple[float, bytes]:
-        """Score and ids (as int32 bytes) of a unit."""
+        if any(_CUT.search(p) for p in self.score):
+            raise ValueError("a piece goes on past a mark after another character: units would not be independent")
+        self.memory: dict[str, bytes] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
+
+    def merged(self, s: str) -> list[str]:
+        """The pieces of a string by merging on a heap and a linked list."""
+        n, score = len(s), self.score
+        sym: list[str | None] = list(s)
+        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(-score[x], i, x) for i in range(n - 1) if (x := s[i : i + 2]) in score]
+        heapq.heapify(heap)
+        while heap:
+            _, i, both = heapq.heappop(heap)
+            a = sym[i]
+            j = nxt[i]
+            if a is None or j >= n or a + sym[j] != both:
+                continue  # one of the two has merged meanwhile
+            sym[i], sym[j] = both, None
+            k = nxt[i] = nxt[j]
+            if k < n:
+                prv[k] = i
+                if (x := both + sym[k]) in score:
+                    heapq.heappush(heap, (-score[x], i, x))
+            h = prv[i]
+            if h >= 0 and (x := sym[h] + both) in score:
+                heapq.heappush(heap, (-score[x], h, x))
+        return [x for x in sym if x is not None]
+
+    def spell(self, piece: str) -> list[int]:
+        """The id of a piece or, without one, the ids of the bytes of a character."""
+        i = self.id.get(piece)
+        return [self.byte.get(b, self.unknown) for b in piece.encode()] if i is None else [i]
+
+    def unit(self, unit: str) -> bytes:
+        """Ids of a unit, as the bytes of int32."""
         found = self.memory.get(unit)
         if found is None:
-            best, start = self.forward(unit, [0.0], 0)
-            found = best[-1], np.array(self.back(unit, start, len(unit), 0)[0], np.int32).tobytes()
+            found = np.array([i for p in self.merged(unit) for i in self.spell(p)], np.int32).tobytes()
             if len(unit) <= REMEMBERED_CHARS:
                 if len(self.memory) >= REMEMBERED:
                     self.memory.clear()
                 self.memory[unit] = found
         return found
 
-    def back(self, text: str, start: list[int], e: int, stop: int) -> tuple[list[int], int]:
-        """Ids of the pieces that end after `stop`, back from e, and the position reached."""
-        cuts = [e]
-        while cuts[-1] > stop:
-            cuts.append(start[cuts[-1]])
-        out: list[int] = []
-        for a, b in zip(cuts[::-1], cuts[-2::-1], strict=False):
-            out += self.spell(text[a:b])
-        return out, cuts[-1]
+    def follows(self, a: str, b: str) -> bool:
+        """Whether piece b may come after piece a; after nothing, whether it is its own answer."""
+        found = self.pairs.get((a, b))
+        if found is None:
+            found = self.merged(a + b) == ([a, b] if a else [b])
+            if len(self.pairs) >= REMEMBERED:
+                self.pairs.clear()
+            self.pairs[a, b] = found
+        return found
 
-    def units(self, text: str) -> list[str]:
-        return _UNITS.findall(text) if self.cuts else [text]
+    def encode_units(self, text: str) -> bytes:
+        return b"".join(map(self.unit, _UNITS.findall(text)))
 
     def encode(self, text: str) -> np.ndarray:
-        of = self.unit
-        return np.frombuffer(b"".join([of(u)[1] for u in self.units(normal(text))]), np.int32)
+        return np.frombuffer(self.encode_units(normal(text)), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.text.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
@@ -112,98 +125,100 @@ def normal(text: str) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
 
-class Chunk:
-    """A stretch of a normal text with up to `longest` characters before it as context."""
+Nodes = dict[tuple[int, int], int]
 
-    def __init__(self, v: Vocabulary, before: str, own: str):
-        self.v, self.text, self.context, self.n = v, before + own, len(before), v.longest
-        # between the first and the last place where every path must cut, units stand alone
-        marks = [m.start() + 1 for m in re.finditer(f"[^{MARK}]{MARK}", self.text) if m.start() + 1 >= self.context] if v.cuts else []
-        self.first, self.last = (marks[0], marks[-1]) if marks else (None, None)
 
-    def _begin(self, state: np.ndarray) -> list[float]:
-        return [state[self.context - p] if self.context - p < self.n else _NONE for p in range(self.context + 1)]
+class Chunk:
+    """A stretch of a normal text, with up to 2 * longest characters before it and one after it for the states.
+
+    A node is (where a piece ends, its length); its length is 0 at a cut and at the start of the text.
+    """
+
+    def __init__(self, v: Vocabulary, before: str, own: str, after: str):
+        self.v, self.text, self.begin, self.after = v, before + own, len(before), after
+        self.end = len(self.text)
+        cuts = [m.end() for m in _CUT.finditer(self.text + after) if self.begin <= m.end() <= self.end]
+        self.cuts = set(cuts)
+        # before the chunk's start only what is close to it matters
+        self.cuts |= {m.end() for m in _CUT.finditer(before + own[:1])}
+        self.first, self.last = (cuts[0], cuts[-1]) if cuts else (None, None)
+
+    def states(self, at: int) -> list[tuple[int, int]]:
+        """Nodes that the state at a boundary may be, in an order that both of its chunks agree on."""
+        out = []
+        for e in range(at, max(at - self.v.longest, -1), -1):
+            if e == 0 or e in self.cuts:
+                out.append((e, 0))
+            else:
+                out += [(e, n) for n in range(1, min(self.v.longest, e) + 1) if n == 1 or self.text[e - n : e] in self.v.id]
+        return out
 
-    def _ends(self, best: list, shift: int) -> np.ndarray:
-        """Scores by characters since the last cut at the chunk's end."""
-        end = len(self.text)
-        return np.array([best[end - d - shift] if 0 <= end - d - shift < len(best) and end - d >= shift else _NONE for d in range(self.n)])
+    def reach(self, seeds: Nodes, stop: int) -> tuple[Nodes, dict[tuple[int, int], tuple[int, int]]]:
+        """What can be reached from seeds (a node's bits tell from which) up to stop, and a predecessor of each node."""
+        v, text = self.v, self.text
+        at: dict[int, dict[int, int]] = {}
+        for (e, n), bits in seeds.items():
+            at.setdefault(e, {})[n] = bits
+        back: dict[tuple[int, int], tuple[int, int]] = {}
+        for p in range(min(at, default=stop), stop):
+            for n, bits in at.get(p, {}).items():
+                a = text[p - n : p]
+                for e in range(max(p, self.begin) + 1, min(p + v.longest, stop) + 1):
+                    b = text[p:e]
+                    if (e == p + 1 or b in v.id) and v.follows(a, b):
+                        own = 0 if e in self.cuts else e - p
+                        here = at.setdefault(e, {})
+                        if own not in here:
+                            back[e, own] = (p, n)
+                        here[own] = here.get(own, 0) | bits
+        return {(e, n): bits for e, d in at.items() for n, bits in d.items()}, back
 
     def matrix(self) -> np.ndarray:
-        """Best scores from each state at the start to each at the end."""
-        eye = np.where(np.eye(self.n) > 0, 0.0, _NONE)
+        """1 where the weight from a state at the start to one at the end is 0, and 0 where it is minus infinity."""
+        into, out = self.states(self.begin), self.states(self.end)
+        seeds = {s: 1 << i for i, s in enumerate(into)}
+        nodes, _ = self.reach(seeds, self.end if self.first is None else self.first)
         if self.first is None:
-            return np.stack([self._ends(self.v.forward(self.text, self._begin(eye[d]), self.context)[0], 0) for d in range(self.n)])
-        head = self.text[: self.first]
-        u = np.array([self.v.forward(head, self._begin(eye[d]), self.context)[0][-1] for d in range(self.n)])
-        middle = sum(self.v.unit(x)[0] for x in self.v.units(self.text[self.first : self.last]))
-        tail = self._ends(self.v.forward(self.text[self.last :], [0.0], 0)[0], self.last)
-        return u[:, None] + middle + tail[None, :]
-
-    def solve(self, state: np.ndarray) -> None:
-        head = self.text if self.first is None else self.text[: self.first]
-        self.head_best, self.head = self.v.forward(head, self._begin(state), self.context)
-        if self.first is not None:
-            self.tail = self.v.forward(self.text[self.last :], [0.0], 0)[1]
-
-    def origins(self) -> np.ndarray:
-        """For each state at the end, the state at the start that it comes from; -1 if none does."""
-        out = np.full(self.n, -1, np.int32)
-        end = len(self.text)
-        common_origin = None
-        for d in range(self.n):
-            e = end - d
-            if e < 0:
-                continue
-            if e <= self.context:
-                out[d] = self.context - e if self.context - e < self.n else -1
-            elif self.first is None or e < self.first:
-                if self.head[e] >= 0:
-                    out[d] = self.context - self.v.back(self.text, self.head, e, self.context)[1]
-            elif e == self.last or (e > self.last and self.tail[e - self.last] >= 0):
-                if common_origin is None:
-                    common_origin = self.context - self.v.back(self.text, self.head, self.first, self.context)[1] if self.first > self.context else 0
-                out[d] = common_origin
-        return out
+            bits = [nodes.get(s, 0) for s in out]
+        else:
+            head = nodes.get((self.first, 0), 0)
+            tail, _ = self.reach({(self.last, 0): 1}, self.end)
+            bits = [head if s in tail else 0 for s in out]
+        return np.array([[b >> i & 1 for b in bits] for i in range(len(into))], np.uint8)
+
+    def _path(self, node: tuple[int, int], to: tuple[int, int]) -> list[int]:
+        """Ids of the pieces from one node to another."""
+        _, back = self.reach({node: 1}, to[0])
+        ends = [to[0]]
+        while to != node:
+            to = back[to]
+            ends.append(to[0])
+        return [i for a, b in zip(ends[:0:-1], ends[-2::-1], strict=True) for i in self.v.spell(self.text[a:b])]
+
+    def trace(self, start: int, leave: int) -> bytes:
+        """Ids (bytes of int32) of the pieces that end in this chunk, from the numbers of the states at both ends."""
+        a, b = self.states(self.begin)[start], self.states(self.end)[leave]
+        if self.first is None:
+            return np.array(self._path(a, b), np.int32).tobytes()
+        head, tail = (np.array(x, np.int32).tobytes() for x in (self._path(a, (self.first, 0)), self._path((self.last, 0), b)))
+        return head + self.v.encode_units(self.text[self.first : self.last]) + tail
 
-    def trace(self, d: int) -> list[int]:
-        """Ids of the pieces that end in this chunk on the path that leaves it in state d."""
-        e = len(self.text) - d
-        if e <= self.context:
-            return []
-        if self.first is None or e < self.first:
-            return self.v.back(self.text, self.head, e, self.context)[0]
-        out = self.v.back(self.text, self.head, self.first, self.context)[0] if self.first > self.context else []
-        for x in self.v.units(self.text[self.first : self.last]) if self.last > self.first else []:
-            out += np.frombuffer(self.v.unit(x)[1], np.int32).tolist()
-        return out + self.v.back(self.text[self.last :], self.tail, e - self.last, 0)[0]
-
-
-def chunks(text: str, size: int, context: int) -> list[tuple[str, str]]:
-    """(characters before, own characters) of each stretch."""
-    return [(text[max(0, i - context) : i], text[i : i + size]) for i in range(0, len(text), size)]
-
-
-def starts(matrices: list[np.ndarray]) -> list[np.ndarray]:
-    """Scores of the states at each chunk's start, by prefix combination; relative, as only differences count."""
-    n = len(matrices[0])
-    state = np.full(n, _NONE)
-    state[0] = 0
-    out = []
-    for m in matrices:
-        out.append(state)
-        state = (state[:, None] + m).max(0)
-        state = state - state.max()
-    return out
-
-
-def exits(origins: list[np.ndarray]) -> list[int]:
-    """The state that the best path has at each chunk's end: the last one ends its text, the others follow from it."""
-    out, d = [], 0
-    for o in reversed(origins):
-        out.append(int(d))
-        d = o[d]
-    return out[::-1]
+
+def chunks(text: str, size: int, context: int) -> list[tuple[str, str, str]]:
+    """(characters before, own characters, the next one) of each stretch."""
+    return [(text[max(0, i - context) : i], text[i : i + size], text[i + size : i + size + 1]) for i in range(0, len(text), size)]
+
+
+def boundaries(matrices: list[np.ndarray], last: np.ndarray) -> list[int]:
+    """The number of the path's state at each chunk's start and at the end; last: weights of the states at the end."""
+    weights = [np.where(m > 0, 0.0, _NONE) for m in matrices]
+    forward = [np.where(np.arange(len(weights[0])) == 0, 0.0, _NONE)]
+    for m in weights:
+        forward.append((forward[-1][:, None] + m).max(0))
+    backward = [last]
+    for m in reversed(weights):
+        backward.append((m + backward[-1][None, :]).max(1))
+    return [int((f + b).argmax()) for f, b in zip(forward, reversed(backward), strict=True)]
 
 
 def encode(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
@@ -232,46 +247,45 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
         v = Vocabulary(model)
         for b in batches:
             for key, row, text in zip(b.column("doc_id"), b.column("row").to_pylist(), b.column("text").to_pylist(), strict=True):
-                parts = chunks(normal(text), chunk, v.longest)
-                yield pa.record_batch([pa.array([key.as_py()] * len(parts), key.type), pa.array([row] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array([x for x, _ in parts]), pa.array([x for _, x in parts])], names=["doc_id", "row", "k", "before", "own"])
+                parts = chunks(normal(text), chunk, 2 * v.longest)
+                yield pa.record_batch([pa.array([key.as_py()] * len(parts), key.type), pa.array([row] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), *(pa.array(x) for x in zip(*parts, strict=True))], names=["doc_id", "row", "k", "before", "own", "after"])
 
-    def each(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(model)
         for b in batches:
-            got = [make(Chunk(v, r["before"], r["own"]), r) for r in b.to_pylist()]
-            yield pa.record_batch([b.column("row"), b.column("k"), pa.array(got, pa.binary())], names=["row", "k", "x"])
-
-    def solved(c: Chunk, r: dict) -> Chunk:
-        c.solve(np.frombuffer(r["state"], np.float64))
-        return c
-
-    def scanned(pdf: pd.DataFrame) -> pd.DataFrame:
+            made = []
+            for r in b.select(["before", "own", "after"]).to_pylist():
+                c = Chunk(v, **r)
+                m = c.matrix()
+                made.append((m.tobytes(), m.shape[1], sum(1 for e, _ in c.states(c.end) if e == c.end)))
+            yield pa.record_batch([b.column("row"), b.column("k"), *(pa.array(x, t) for x, t in zip(zip(*made, strict=True) if made else ([], [], []), (pa.binary(), pa.int32(), pa.int32()), strict=True))], names=["row", "k", "m", "wide", "ends"])
+
+    def combined(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
-        n = int(np.sqrt(len(pdf["x"].iloc[0]) // 8))
-        return pd.DataFrame({"row": pdf["row"], "k": pdf["k"], "x": [s.tobytes() for s in starts([np.frombuffer(m, np.float64).reshape(n, n) for m in pdf["x"]])]})
+        ms = [np.frombuffer(m, np.uint8).reshape(-1, w) for m, w in zip(pdf["m"], pdf["wide"], strict=True)]
+        at = boundaries(ms, np.where(np.arange(pdf["wide"].iloc[-1]) < pdf["ends"].iloc[-1], 0.0, _NONE))
+        return pd.DataFrame({"row": pdf["row"], "k": pdf["k"], "start": at[:-1], "leave": at[1:]})
 
-    def composed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        return pd.DataFrame({"row": pdf["row"], "k": pdf["k"], "x": [np.int32(d).tobytes() for d in exits([np.frombuffer(o, np.int32) for o in pdf["x"]])]})
+    def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = Vocabulary(model)
+        for b in batches:
+            ids = [Chunk(v, r["before"], r["own"], r["after"]).trace(r["start"], r["leave"]) for r in b.to_pylist()]
+            yield pa.record_batch([b.column("doc_id"), b.column("row"), b.column("k"), b.column("own"), pa.array(ids, pa.binary())], names=["doc_id", "row", "k", "own", "x"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(model)
         for t in common.groups(batches, ["row"]):
             ids = np.frombuffer(b"".join(t["x"].to_pylist()), np.int32)
-            text = "".join(t["own"].to_pylist()).replace(MARK, " ")[1:]
-            yield finish(t["doc_id"].slice(0, 1).combine_chunks(), [ids], [v.decode(ids) == text])
+            own = "".join(t["own"].to_pylist())
+            yield finish(t["doc_id"].slice(0, 1).combine_chunks(), [ids], [v.decode(ids) == own.replace(MARK, " ")[1:]])
 
     long = F.coalesce(F.length("text") > chunk, F.lit(False))
     short = docs.filter(~long).mapInArrow(whole, schema)
     giants = docs.filter(long).withColumn("row", F.monotonically_increasing_id())
-    parts = common.materialize(giants.mapInArrow(split, f"doc_id {kind}, row long, k int, before string, own string").repartition("row", "k"), "chunks")
-    of = "row long, k int, x binary"
-    states = parts.mapInArrow(lambda b: each(b, lambda c, r: c.matrix().tobytes()), of).groupBy("row").applyInPandas(scanned, of).withColumnRenamed("x", "state")
-    parts = common.materialize(parts.join(states, ["row", "k"]), "states")
-    leave = parts.mapInArrow(lambda b: each(b, lambda c, r: solved(c, r).origins().tobytes()), of).groupBy("row").applyInPandas(composed, of).withColumnRenamed("x", "leave")
-    traced = parts.join(leave, ["row", "k"])
-    traced = traced.mapInArrow(lambda b: each(b, lambda c, r: np.array(solved(c, r).trace(int(np.frombuffer(r["leave"], np.int32)[0])), np.int32).tobytes()), of)
-    rows = traced.join(parts.select("doc_id", "row", "k", "own"), ["row", "k"]).repartition("row").sortWithinPartitions("row", "k")
+    parts = common.materialize(giants.mapInArrow(split, f"doc_id {kind}, row long, k int, before string, own string, after string").repartition("row", "k"), "chunks")
+    ends = parts.mapInArrow(matrices, "row long, k int, m binary, wide int, ends int").groupBy("row").applyInPandas(combined, "row long, k int, start int, leave int")
+    done = parts.join(ends, ["row", "k"]).mapInArrow(traced, f"doc_id {kind}, row long, k int, own string, x binary")
+    rows = done.repartition("row").sortWithinPartitions("row", "k")
     return short.unionAll(rows.mapInArrow(gather, schema))
 
 
