@@ -9,8 +9,10 @@ Steps, none with all pairs of a group of copies:
 1. Documents with equal sets form a class; from here on one document stands for its class.
 2. Each bucket of a band links its members to its smallest one where the estimate allows it. Buckets whose members
    are not all connected yet are compared within blocks on signatures alone, and give a spanning forest of links.
-3. Components of these estimated links hold every true link. Their members' sets go, in blocks of bounded bytes, to
-   tasks that confirm links with union-find: only pairs not connected yet are looked at, likeliest first.
+3. Components of these estimated links hold every true link. Their members' texts go, in blocks of bounded bytes, to
+   tasks that confirm links on full sets: only pairs not connected yet are looked at, likeliest first. In a group of
+   many blocks each one first meets one common block, which is linear in the group; only members that this leaves
+   outside the group's largest component then meet its other blocks.
 4. Components of confirmed links give component_id, for all documents of the classes.
 
 Texts without words, and nulls, have an empty set, no link, and their own component. A row with a null doc_id is its
@@ -33,8 +35,8 @@ from setwise.llm import common
 HASHES, BANDS, ROWS, BITS = 128, 32, 4, 4
 #: Estimated similarity, in hundredths, that candidates must reach at a threshold of 80: five standard errors less.
 SLACK = 20
-#: Members of a block of signatures, and bytes of sets in a block, that one comparison holds.
-BLOCK, BLOCK_SET_BYTES = 1024, 8 << 20
+#: Members of a block of signatures, and members and bytes of sets in a block of texts, that one comparison holds.
+BLOCK, BLOCK_MEMBERS, BLOCK_SET_BYTES = 1024, 4096, 8 << 20
 REMEMBERED = 300_000
 _rng = np.random.default_rng(20250101)
 _A = (_rng.integers(0, 1 << 31, HASHES, np.uint32) * 2 + 1)[:, None].astype(np.uint32)
@@ -189,34 +191,42 @@ def _similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], percent: int, least: float) -> Iterator[pa.RecordBatch]:
-    """A forest of confirmed links within blocks."""
+def _confirm(batches: Iterator[pa.RecordBatch], percent: int, least: float, width: int) -> Iterator[pa.RecordBatch]:
+    """A forest of confirmed links between the left and right rows of blocks that aren't connected yet."""
+    sh = Shingles(width)
     for t in common.groups(batches, ["comp", "i", "j"]):
-        own, rep = t["own"].to_numpy(), t["rep"].to_numpy()
-        sig = np.array(t["sig"].to_pylist(), np.int64).view(np.uint64)
-        sets = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
+        made = [sh.set(x) for x in common.raw(t["text"].combine_chunks())]
+        own = np.array([xxhash.xxh128_digest(s.tobytes()) == d for s, d in zip(made, t["digest"].to_pylist(), strict=True)])  # of a repeated id only the right row
+        t, sets = t.filter(pa.array(own)), [s for s, ok in zip(made, own, strict=True) if ok]
+        rep, left, right = (t[c].to_numpy() for c in ("rep", "is_left", "is_right"))
+        sig = np.array(t["sig"].to_pylist(), np.int64).reshape(len(rep), -1).view(np.uint64)
         size = np.array([len(s) for s in sets])
-        i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        left, right = (np.flatnonzero(own == i), np.flatnonzero(own == j))
-        forest, links = Forest(len(rep)), []
-        near: dict[int, list] = {}
-        for s in range(0, len(left), 64):
-            rows = left[s : s + 64]
-            m = equal_fields(sig[rows], sig[right])
-            small, large = np.minimum(size[rows][:, None], size[right]), np.maximum(size[rows][:, None], size[right])
-            ok = (estimate(m) >= least) & (100 * small >= percent * large)
-            a, b = np.nonzero(ok)
-            keep = rows[a] < right[b] if i == j else np.full(len(a), True)
-            for x, y, k in zip(rows[a[keep]].tolist(), right[b[keep]].tolist(), m[a[keep], b[keep]].tolist(), strict=True):
-                near.setdefault(k, []).append((x, y))
-        for k in sorted(near, reverse=True):
-            for x, y in near[k]:
-                if forest.find(x) == forest.find(y):
-                    continue
-                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if 100 * both >= percent * (size[x] + size[y] - both):
-                    forest.join(x, y)
-                    links.append((rep[x], rep[y]))
+        _, root = np.unique(t["part"].to_numpy(), return_inverse=True)
+        links = []
+        rights = np.flatnonzero(right)
+        off = np.concatenate(([0], np.cumsum(size)))
+        values, ids = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_inverse=True)
+        inside = np.zeros(len(values), np.uint8)
+        for x in np.flatnonzero(left):
+            m, n, o = equal_fields(sig[x : x + 1], sig[rights])[0], size[x], size[rights]
+            ok = (estimate(m) >= least) & (100 * np.minimum(n, o) >= percent * np.maximum(n, o)) & (root[rights] != root[x])
+            todo = rights[ok][np.argsort(-m[ok], kind="stable")]
+            if not len(todo):
+                continue
+            inside[ids[off[x] : off[x + 1]]] = 1
+            step = 1
+            while len(todo):
+                some, todo = todo[:step], todo[step:]
+                long = size[some]
+                begin = np.cumsum(long) - long
+                both = np.add.reduceat(inside[ids[np.repeat(off[some] - begin, long) + np.arange(long.sum())]], begin, dtype=np.int64)
+                for y in some[100 * both >= percent * (n + long - both)]:
+                    if root[y] != root[x]:
+                        root[root == root[y]] = root[x]
+                        links.append((rep[x], rep[y]))
+                todo = todo[root[todo] != root[x]]
+                step = min(4 * step, 256)
+            inside[ids[off[x] : off[x + 1]]] = 0
         if links:
             a, b = np.array(links).T
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -276,21 +286,38 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     todo = _blocked(todo, F.ceil(F.col("members") / BLOCK), "key").select("key", "i", "j", "own", "rep", "comp", "sig")
     more = todo.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep").mapInArrow(lambda x: _similar(x, least), "a long, b long")
     label = common.materialize(components(stars.unionAll(more)), "estimated").withColumnRenamed("node", "rep").withColumnRenamed("component", "comp")
-    # 3: full sets of their members
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chosen = label.select(F.col("rep").alias("doc_id"))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sh = Shingles(width)
-        for b in batches:
-            found = [sh.set(x) for x in common.raw(b.column("text"))]
-            yield pa.record_batch([b.column("doc_id"), pa.array([xxhash.xxh128_digest(s.tobytes()) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["rep", "digest", "shingles"])
-
-    full = common.join_ids(wanted, chosen).mapInArrow(sets, "rep long, digest binary, shingles binary")
-    full = full.join(classes.select("rep", "digest", "sig", "n"), ["rep", "digest"]).join(label, "rep")
-    bytes_ = label.join(classes.select("rep", "n"), "rep").groupBy("comp").agg(F.ceil(F.sum("n") * 8 / BLOCK_SET_BYTES).alias("parts"))
-    full = _blocked(full.join(bytes_, "comp"), F.col("parts"), "comp").select("comp", "i", "j", "own", "rep", "sig", "shingles")
-    links = full.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "rep").mapInArrow(lambda x: _confirm(x, percent, least), "a long, b long")
+    # 3: their members, in blocks
+    blocks = F.ceil(F.greatest(F.sum("n") * 8 / BLOCK_SET_BYTES, F.count("*") / BLOCK_MEMBERS)).cast("int")
+    member = label.join(classes.select("rep", "digest", "sig", "n"), "rep")
+    member = member.join(member.groupBy("comp").agg(blocks.alias("nb")), "comp").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    member = common.materialize(member, "members")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+
+    def confirmed(rows: DataFrame) -> DataFrame:
+        """Links within the blocks (comp, i, j) of rows, whose texts are fetched here."""
+        rows = texts.join(rows.select("rep", "part", "digest", "sig", F.explode("blocks").alias("b"), "comp"), "rep").select("comp", "b.i", "b.j", "b.is_left", "b.is_right", "rep", "part", "digest", "sig", "text")
+        return rows.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "rep").mapInArrow(lambda x: _confirm(x, percent, least, width), "a long, b long")
+
+    def block(i: Column, j: Column, is_left: Column, is_right: Column) -> Column:
+        return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), is_left.alias("is_left"), is_right.alias("is_right"))
+
+    zero, yes, no = F.lit(0), F.lit(True), F.lit(False)
+    common_block = F.transform(F.sequence(zero, F.col("nb") - 1), lambda i: block(i, zero, i == 0, yes))
+    first = member.withColumn("part", F.col("rep")).withColumn("blocks", F.when(F.col("own") == 0, common_block).otherwise(F.array(block(F.col("own"), zero, yes, yes))))
+    links = common.materialize(confirmed(first), "confirmed")
+    many = member.filter("nb > 1")
+    if not many.isEmpty():
+        done = components(links).withColumnRenamed("node", "rep").withColumnRenamed("component", "part")
+        many = many.join(done, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+        parts = many.groupBy("comp", "part").agg(F.sum("n").alias("bytes"), F.count("*").alias("count"))
+        largest = parts.groupBy("comp").agg(F.max_by("part", F.struct("count", "part")).alias("largest"), F.sum("bytes").alias("bytes"), F.sum("count").alias("count"), F.max(F.struct("count", "part", "bytes")).alias("x"))
+        left_bytes, left_count = F.col("bytes") - F.col("x.bytes"), F.col("count") - F.col("x.count")
+        rest = largest.filter(left_count > 0).select("comp", "largest", F.ceil(F.greatest(left_bytes * 8 / BLOCK_SET_BYTES, left_count / BLOCK_MEMBERS)).cast("int").alias("ns"))
+        many = many.join(rest, "comp")
+        outside = F.transform(F.sequence(zero, F.col("nb") - 1), lambda j: block(F.pmod(F.xxhash64("rep"), F.col("ns")), j, yes, no))
+        every = F.transform(F.sequence(zero, F.col("ns") - 1), lambda i: block(i, F.col("own"), no, yes))
+        second = many.withColumn("blocks", F.when(F.col("part") != F.col("largest"), F.concat(every, outside)).otherwise(every))
+        links = links.unionAll(confirmed(second))
     # 4: back to documents
     done = components(links)
     named = classes.select("digest", "rep").join(done.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
