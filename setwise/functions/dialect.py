@@ -33,7 +33,7 @@ FUNCTIONS = {
     "len": ("s STRING", "INT", "char_length(s)"),
     "replicate": ("s STRING, n INT", "STRING", f"CASE WHEN n >= 0 THEN repeat(s, n) WHEN n IS NOT NULL THEN {_FAIL.format('REPLICATE')} END"),
     "charindex": ("sub STRING, s STRING, pos INT DEFAULT 0", "INT", f"CASE WHEN pos < 0 OR pos > char_length(s) THEN {_FAIL.format('CHARINDEX')} ELSE locate(sub, s, pos + 1) - 1 END"),
-    "str": ("x DOUBLE, n INT DEFAULT 10, d INT DEFAULT 0", "STRING", "CASE WHEN char_length(format_string(concat('%.', d, 'f'), bround(x, d))) > n THEN repeat('*', n) ELSE lpad(format_string(concat('%.', d, 'f'), bround(x, d)), n, ' ') END"),
+    "str": ("x DOUBLE, n INT DEFAULT 10, d INT DEFAULT 0", "STRING", "CASE WHEN char_length(format_string(concat('%.', d, 'f'), bround(x * power(10, d)) / power(10, d))) > n THEN repeat('*', n) ELSE lpad(format_string(concat('%.', d, 'f'), bround(x * power(10, d)) / power(10, d)), n, ' ') END"),
     "datetimepart": ("i STRING, ts TIMESTAMP", "BIGINT", _intervals({"YY": "year(ts)", "YD": "dayofyear(ts)", "M": "month(ts)", "D": "day(ts)", "W": "dayofweek(ts) - 1", "WK": "weekofyear(ts)", "HH": "hour(ts)", "MI": "minute(ts)", "S": "second(ts)", "MS": f"{_SUBSECOND} div 1000", "US": _SUBSECOND, "NS": f"{_SUBSECOND} * 1000"}, "DATETIMEPART")),
     "datetimename": ("i STRING, ts TIMESTAMP", "STRING", _intervals({"YY": "cast(year(ts) AS string)", "YD": "cast(dayofyear(ts) AS string)", "M": "date_format(ts, 'MMMM')", "D": "cast(day(ts) AS string)", "W": "date_format(ts, 'EEEE')", "WK": "cast(weekofyear(ts) AS string)", "HH": "cast(hour(ts) AS string)", "MI": "cast(minute(ts) AS string)", "S": "cast(second(ts) AS string)", "MS": f"cast({_SUBSECOND} div 1000 AS string)", "US": f"cast({_SUBSECOND} AS string)", "NS": f"cast({_SUBSECOND} * 1000 AS string)"}, "DATETIMENAME")),
     "date_trunc": ("i STRING, ts TIMESTAMP", "STRING", _intervals({"YY": "date_format(ts, 'yyyy')", "M": "date_format(ts, 'yyyy-MM')", "D": "date_format(ts, 'yyyy-MM-dd')", "HH": r"date_format(ts, 'yyyy-MM-dd\'T\'HH')", "MI": r"date_format(ts, 'yyyy-MM-dd\'T\'HH:mm')", "S": r"date_format(ts, 'yyyy-MM-dd\'T\'HH:mm:ss')", "MS": r"date_format(ts, 'yyyy-MM-dd\'T\'HH:mm:ss.SSS')", "US": r"date_format(ts, 'yyyy-MM-dd\'T\'HH:mm:ss.SSSSSS')", "NS": r"concat(date_format(ts, 'yyyy-MM-dd\'T\'HH:mm:ss.SSSSSS'), '000')"}, "DATE_TRUNC")),
@@ -50,7 +50,8 @@ FUNCTIONS = {
 SETS = {"setcontains": "array_contains({0}, {1})", "setcontainsany": "arrays_overlap({0}, {1})", "setcontainsall": "(size(array_except({1}, {0})) = 0)"}
 
 
-def register(spark: SparkSession) -> None:
-    """Make the functions known to a session."""
+def register(spark: SparkSession, text: str | None = None) -> None:
+    """Make the functions known to a session: all, or those that a statement uses."""
     for name, (params, kind, body) in FUNCTIONS.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {PREFIX}{name}({params}) RETURNS {kind} RETURN {body}")
+        if text is None or f"{PREFIX}{name}(" in text:
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {PREFIX}{name}({params}) RETURNS {kind} RETURN {body}")

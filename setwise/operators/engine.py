@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from setwise.functions.percentile import percentile
+from setwise.operators import writes
 from setwise.operators.tables import Table
-from setwise.plans.pql import Call, Condition, Name, PqlError, parse
+from setwise.plans.calls import Call, Condition, Name, CallError, parse
 
 _OPTIONS = {"from", "to", "limit", "offset", "n", "k", "ids", "threshold", "tanimotoThreshold", "field", "index", "filter", "previous", "column", "like", "in", "aggregate", "having", "sort", "rows", "columns", "shards", "nth", "sort-desc"}
 SETS = {"row", "range", "bitmap", "union", "intersect", "difference", "xor", "not", "all", "constrow", "limit", "shift", "unionrows", "innerunionrows", "distinct", "sort"}
@@ -72,7 +73,7 @@ class Engine:
             return self.ids(index, call)
         handler = getattr(self, f"_{call.name}", None)
         if handler is None:
-            raise PqlError(f"unknown call {call.name!r}")
+            raise CallError(f"unknown call {call.name!r}")
         return handler(index, call)
 
     # sets
@@ -81,7 +82,7 @@ class Engine:
         other = call.args.get("index", index)
         other = other.text if isinstance(other, Name) else other
         if other not in self.tables:
-            raise PqlError(f"no index {other!r}")
+            raise CallError(f"no index {other!r}")
         return other
 
     def ids(self, index: str, call: Call) -> DataFrame:
@@ -112,7 +113,7 @@ class Engine:
             return out
         if call.name == "intersect":
             if not call.children:
-                raise PqlError("Intersect() needs an argument")
+                raise CallError("Intersect() needs an argument")
             out = F.lit(True)
             for k in kids():
                 out = out & k
@@ -129,7 +130,7 @@ class Engine:
             return first
         if call.name == "not":
             if len(call.children) != 1:
-                raise PqlError("Not() takes one argument")
+                raise CallError("Not() takes one argument")
             return ~kids()[0]
         if call.name == "all":
             if "limit" not in call.args and "offset" not in call.args:
@@ -153,7 +154,7 @@ class Engine:
                 rows = scan.table.df.select("_id", scan.table.values(name).alias("__v"))
                 out = out | scan.flag(rows.join(found, "__v", "left_semi"))
             return out
-        raise PqlError(f"{call.name} is no set of records")
+        raise CallError(f"{call.name} is no set of records")
 
     def _any_of(self, table: Table, name: str, values: Column, call: Call) -> Column:
         if table.is_set(name):
@@ -163,7 +164,7 @@ class Engine:
     def _row_test(self, table: Table, call: Call) -> Column:
         names = [a for a in call.args if a not in _OPTIONS or a in table.df.columns]
         if len(names) != 1:
-            raise PqlError("Row() takes one field")
+            raise CallError("Row() takes one field")
         name, value = names[0], call.args[names[0]]
         start, stop = call.args.get("from"), call.args.get("to")
         kind = table.type(name)
@@ -171,7 +172,7 @@ class Engine:
             if value.value is None or not table.is_set(name):
                 return compare(F.col(name), value, kind)
             if value.op not in ("==", "!="):
-                raise PqlError(f"{name} is a set: only = compares")
+                raise CallError(f"{name} is a set: only = compares")
             hit = F.array_contains(table.members(name), F.lit(value.value))
             return hit if value.op == "==" else ~hit
         value = value.text if isinstance(value, Name) else value
@@ -306,7 +307,7 @@ class Engine:
         for k, c in enumerate(call.children):
             name = _field(c)
             if isinstance(t.type(name), T.DecimalType):
-                raise PqlError(f"{name}: decimals are no group keys")
+                raise CallError(f"{name}: decimals are no group keys")
             own = f"__g{k}"
             rows = rows.withColumn(own, t.values(name, c.args.get("from"), c.args.get("to"))).filter(F.col(own).isNotNull())
             if c.args.keys() & {"limit", "previous", "like", "in", "column"}:
@@ -319,7 +320,7 @@ class Engine:
         elif agg is not None and agg.name == "count":
             value = F.countDistinct(t.values(_field(agg.children[0])) if not t.is_set(_field(agg.children[0])) else F.col(_field(agg.children[0]))).alias("agg")
         elif agg is not None:
-            raise PqlError(f"unknown aggregate {agg.name!r}")
+            raise CallError(f"unknown aggregate {agg.name!r}")
         out = rows.groupBy(*(g for g, _ in groups)).agg(F.count("*").alias("count"), *([value] if value is not None else []))
         having = call.args.get("having")
         if having is not None:
@@ -335,6 +336,35 @@ class Engine:
             out = out.limit(call.args["limit"])
         return out.select(*(F.col(g).alias(n) for g, n in groups), *[c for c in out.columns if not c.startswith("__g")])
 
+    # writes: the table's rows afterwards, which later calls of this engine see
+
+    def _written(self, index: str, df: DataFrame) -> DataFrame:
+        t = self.tables[index]
+        self.tables = {**self.tables, index: Table(df, t.quantums, t.foreign)}
+        return df
+
+    def _set(self, index: str, call: Call) -> DataFrame:
+        record, *ts = call.positional
+        (name, value), = call.args.items()
+        return self._written(index, writes.set_value(self.tables[index], _plain(record), name, _plain(value), ts[0] if ts else None))
+
+    _setbit = _set
+
+    def _clear(self, index: str, call: Call) -> DataFrame:
+        (name, value), = call.args.items()
+        return self._written(index, writes.clear(self.tables[index], _plain(call.positional[0]), name, _plain(value)))
+
+    def _clearrow(self, index: str, call: Call) -> DataFrame:
+        (name, value), = call.args.items()
+        return self._written(index, writes.clear_row(self.tables[index], name, _plain(value)))
+
+    def _store(self, index: str, call: Call) -> DataFrame:
+        (name, value), = call.args.items()
+        return self._written(index, writes.store(self.tables[index], self.ids(index, call.children[0]), name, _plain(value)))
+
+    def _delete(self, index: str, call: Call) -> DataFrame:
+        return self._written(index, writes.delete(self.tables[index], self.ids(index, call.children[0])))
+
     def _includescolumn(self, index: str, call: Call) -> DataFrame:
         rows = self.matching(index, call.children[0]).filter(F.col("_id") == call.args["column"])
         return rows.agg((F.count("*") > 0).alias("included"))
@@ -352,9 +382,13 @@ class Engine:
         return self.matching(index, source).select("_id", *cols)
 
 
+def _plain(value: Any) -> Any:
+    return value.text if isinstance(value, Name) else value
+
+
 def _field(call: Call) -> str:
     """The field that a call names: field=, _field, or its first bare word."""
     found = call.args.get("field", call.positional[0] if call.positional else None)
     if found is None:
-        raise PqlError(f"{call.name} needs a field")
+        raise CallError(f"{call.name} needs a field")
     return found.text if isinstance(found, Name) else found
