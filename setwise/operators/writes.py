@@ -23,6 +23,8 @@ def check_rows(rows: DataFrame, limits: dict[str, tuple[int | None, int | None]]
     bad = F.col("_id").isNull() | ((F.col("_id") < 0) if kind != "string" else F.lit(False))
     out = rows.withColumn("_id", F.when(bad, F.raise_error(F.lit("an _id is null or negative")).cast(rows.schema["_id"].dataType)).otherwise(F.col("_id")))
     for name, (low, high) in (limits or {}).items():
+        if name not in rows.columns:
+            continue
         over = reduce(lambda a, b: a | b, [F.col(name) < low] * (low is not None) + [F.col(name) > high] * (high is not None), F.lit(False))
         out = out.withColumn(name, F.when(over, F.raise_error(F.lit(f"{name}: value out of range")).cast(rows.schema[name].dataType)).otherwise(F.col(name)))
     return out

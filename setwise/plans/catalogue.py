@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from setwise.operators import arrays
 from setwise.plans import dialect
 from setwise.plans.calls import parse
-from setwise.plans.samples import MEMBERS, WITH, engine, views
+from setwise.plans.samples import WITH, engine, index_table, read, views
+from setwise.plans.statements import Session
+from setwise.streaming.ingest import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -223,3 +226,59 @@ fn("datetimediff_month", "DATETIMEDIFF('M', orderdate, TIMESTAMP '2000-01-01')",
 fn("datetimefromparts", "CAST(DATETIMEFROMPARTS(2001, 2, CAST(1 + size % 28 AS INT), 3, 4, 5, 6) AS TIMESTAMP_NTZ)", "make_timestamp(2001, 2, 1 + size % 28, 3, 4, 5.006)")
 fn("totimestamp", "CAST(TOTIMESTAMP(size * 100000, 's') AS TIMESTAMP_NTZ)", "make_timestamp(size * 100000 * 1000000)")
 fn("current_date", "CURRENT_DATE <= CURRENT_TIMESTAMP", "TRUE")
+
+
+# statements and streams: each over a store of its own in the shared folder
+
+
+def _session(spark: SparkSession) -> Session:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/setwise"
+    return Session(spark, f"{folder.rstrip('/')}/store-{uuid.uuid4().hex}")
+
+
+def statements(name: str, texts: list[str], oracle: str) -> None:
+    """Statements after the parts table was made from the generated one; the last is a SELECT or PREDICT."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        session = _session(spark)
+        session.run("CREATE TABLE parts (_id id, name string, type string, size int min 0 max 1000000, price decimal(2))")
+        session.store.write("parts", index_table(spark, sf_dir, "parts"))
+        return [session.run(t) for t in texts][-1]
+
+    add(name, run, oracle)
+
+
+statements("stmt_insert", ["INSERT INTO parts (_id, name, size) VALUES (1, 'new name', 77), (90000001, 'more', 5)", "SELECT _id, name, type, size FROM parts"], "SELECT _id, CASE WHEN _id = 1 THEN 'new name' ELSE name END AS name, type, CASE WHEN _id = 1 THEN 77 ELSE size END AS size FROM t_parts UNION ALL SELECT 90000001, 'more', NULL, 5")
+statements("stmt_replace", ["REPLACE INTO parts (_id, size) VALUES (2, 8)", "SELECT _id, name, size FROM parts"], "SELECT _id, name, CASE WHEN _id = 2 THEN 8 ELSE size END AS size FROM t_parts")
+statements("stmt_delete", ["DELETE FROM parts WHERE size > 10", "SELECT _id FROM parts"], "SELECT _id FROM t_parts WHERE size <= 10")
+statements("stmt_truncate", ["DELETE FROM parts", "SELECT count(*) AS n FROM parts"], "SELECT CAST(0 AS BIGINT) AS n")
+statements("stmt_copy", ["COPY parts TO copied WHERE size = 3", "SELECT _id, price FROM copied"], "SELECT _id, price FROM t_parts WHERE size = 3")
+statements("stmt_view", ["CREATE VIEW small AS SELECT _id, size FROM parts WHERE size < 5", "ALTER VIEW small AS SELECT _id, size FROM parts WHERE size < 4", "SELECT * FROM small"], "SELECT _id, size FROM t_parts WHERE size < 4")
+statements("stmt_alter", ["ALTER TABLE parts ADD COLUMN extra int", "ALTER TABLE parts RENAME COLUMN name TO title", "ALTER TABLE parts DROP COLUMN type", "SELECT _id, title, extra FROM parts"], "SELECT _id, name AS title, CAST(NULL AS BIGINT) AS extra FROM t_parts")
+statements("stmt_bulk_csv", ["BULK INSERT INTO parts (_id, name, size) MAP (0 id, 1 string, 2 int) TRANSFORM (@0, @1, @2 + 1) FROM '90000002,x,4\n90000003,y,5' WITH FORMAT 'CSV' INPUT 'STREAM'", "SELECT _id, name, size FROM parts WHERE _id > 90000000"], "SELECT CAST(90000002 AS BIGINT) AS _id, 'x' AS name, CAST(5 AS BIGINT) AS size UNION ALL SELECT 90000003, 'y', 6")
+statements("stmt_bulk_ndjson", ["""BULK INSERT INTO parts (_id, name) MAP ('$.k' id, '$.a.b' string) FROM '{"k": 90000004, "a": {"b": "deep"}}' WITH FORMAT 'NDJSON' INPUT 'STREAM'""", "SELECT _id, name FROM parts WHERE _id > 90000000"], "SELECT CAST(90000004 AS BIGINT) AS _id, 'deep' AS name")
+statements("stmt_model_predict", ["CREATE MODEL m WITH (modeltype 'linear_regression', labels ['y']) AS SELECT _id, size, 2 * size + 1 AS y FROM parts", "PREDICT USING m SELECT _id, size FROM parts"], "SELECT _id, size, CAST(2 * size + 1 AS DECIMAL(38,2)) AS prediction FROM t_parts")
+QUERIES["stmt_model_predict"] = lambda s, d, run=QUERIES["stmt_model_predict"]: run(s, d).withColumn("prediction", F.round("prediction", 2).cast("decimal(38,2)"))
+statements("stmt_show_columns", ["SELECT name FROM system_table_ddl"], "SELECT 'parts' AS name")
+
+
+def _bulk_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session = _session(spark)
+    session.run("CREATE TABLE p (_id id, brand string)")
+    session.run(f"BULK INSERT INTO p (_id, brand) MAP ('p_partkey' id, 'p_brand' string) FROM '{sf_dir}/part.parquet' WITH FORMAT 'PARQUET' INPUT 'FILE'")
+    return session.run("SELECT _id, brand FROM p")
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session = _session(spark)
+    session.run("CREATE TABLE seen (_id id, value decimal(2), types stringset)")
+    events = read(spark, sf_dir, "events").select(F.col("user_id").alias("_id"), F.col("event_type").alias("type"))
+    folder = f"{session.store.root}/in"
+    events.write.parquet(folder)
+    stream = spark.readStream.schema(events.schema).parquet(folder).select("_id", F.array("type").alias("types"))
+    ingest(stream, session.store, "seen", f"{session.store.root}/checkpoint").awaitTermination()
+    return session.run("SELECT _id, array_join(array_sort(types), ',') AS types FROM seen")
+
+
+add("stmt_bulk_parquet", _bulk_parquet, "SELECT _id, brand FROM t_parts")
+add("stream_ingest", _stream, "SELECT _id, string_agg(DISTINCT v, ',' ORDER BY v) AS types FROM hits GROUP BY _id")
