@@ -41,6 +41,22 @@ _CUT = re.compile(f"[^{MARK}](?={MARK})")
 _NONE = -np.inf
 
 
+class _Units(dict):
+    """Unit to ids, bounded: emptied when full; known units cost no Python call."""
+
+    def __init__(self, v: Vocabulary):
+        super().__init__()
+        self.v = v
+
+    def __missing__(self, unit: str) -> bytes:
+        found = np.array([i for p in self.v.merged(unit) for i in self.v.spell(p)], np.int32).tobytes()
+        if len(unit) <= REMEMBERED_CHARS:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[unit] = found
+        return found
+
+
 class Vocabulary:
     def __init__(self, path: str):
         import sentencepiece
@@ -58,7 +74,7 @@ class Vocabulary:
             self.text[i] = bytes([b])
         if any(_CUT.search(p) for p in self.score):
             raise ValueError("a piece goes on past a mark after another character: units would not be independent")
-        self.memory: dict[str, bytes] = {}
+        self.unit = _Units(self).__getitem__  # ids of a unit, as the bytes of int32
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def merged(self, s: str) -> list[str]:
@@ -90,17 +106,6 @@ class Vocabulary:
         i = self.id.get(piece)
         return [self.byte.get(b, self.unknown) for b in piece.encode()] if i is None else [i]
 
-    def unit(self, unit: str) -> bytes:
-        """Ids of a unit, as the bytes of int32."""
-        found = self.memory.get(unit)
-        if found is None:
-            found = np.array([i for p in self.merged(unit) for i in self.spell(p)], np.int32).tobytes()
-            if len(unit) <= REMEMBERED_CHARS:
-                if len(self.memory) >= REMEMBERED:
-                    self.memory.clear()
-                self.memory[unit] = found
-        return found
-
     def follows(self, a: str, b: str) -> bool:
         """Whether piece b may come after piece a; after nothing, whether it is its own answer."""
         found = self.pairs.get((a, b))
