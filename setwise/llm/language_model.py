@@ -1,15 +1,15 @@
-"""LM scoring with an n-gram trie in Elias-Fano levels.
+"""LM scoring with an n-gram model whose levels are Elias-Fano sequences, dealt in shards.
 
 Counts of all training tokens make the base estimate p(w) = (c + 0.1) / (N + 0.1 (V + 1)). Above it stand bigrams and
-trigrams of frequent words with absolute discounting and back-off weights that keep each distribution whole: what is
-not in the trie falls back to shorter contexts and last to p(w).
+trigrams with absolute discounting and back-off weights that keep each distribution whole: what is not in the model
+falls back to shorter contexts and last to p(w).
 
-Words whose count is at least N / SHARE (so at most SHARE of them) make the trie's vocabulary and are broadcast with
-their counts: that bound holds for any corpus. N-grams stay at the same share. All other words' counts are joined by
-hash; as none has more than one SHAREth of all tokens, no join key is hot. Each level of the trie keeps the successors
-of every context as one monotone sequence in Elias-Fano form with Elias-Fano pointers; a trigram's last word is stored
-as its rank among the successors of the middle word. Log10 probabilities and back-off weights are quantised to 8 bits.
-Levels are files mapped into memory, made by each worker from the broadcast bytes.
+All words, and all bigrams and trigrams that occur LEAST times, make the model, at every size of the corpus. Its levels
+are tables in the shared folder, never on the driver or broadcast. An n-gram's key is the hash of its context chain:
+a word's hash, (u, v) of two words, ((u, v), (v, w)) of two bigrams. Keys are dealt to shards by hash; a shard keeps the
+keys of a level as one monotone sequence in Elias-Fano form, beside log10 probabilities and back-off weights quantised
+to 8 bits. Rows are scored in small chunks: a chunk asks every key once, whatever its frequency, so that no key is
+hot, and the answers meet its texts again.
 
 Null and empty texts have the end token alone. A null doc_id is neither learnt from nor held out. Repeated rows are
 scored alike, each alone. Without training rows N and V are 0 and every token has probability 1.
@@ -17,9 +17,6 @@ scored alike, each alone. Without training rows N and V are 0 and every token ha
 
 from __future__ import annotations
 
-import os
-import tempfile
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +29,15 @@ from pyspark.sql import types as T
 from setwise.llm import common
 
 ADD, DISCOUNT = 0.1, 0.5
-#: A word or n-gram needs at least one SHAREth of all training tokens (and two) to be in the trie.
-SHARE = 1 << 20
-#: Words a worker counts before it hands them on, and words whose numbers it remembers.
-HELD, REMEMBERED = 400_000, 400_000
+#: Occurrences of a bigram or trigram in the model, for any number of training tokens.
+LEAST = 2
+#: Words with at least one such share of all tokens (so at most so many) are broadcast for joins that they would skew.
+FREQUENT = 1 << 13
+#: Tokens whose n-grams a worker counts before it hands them on, and words whose hashes it remembers.
+HELD, REMEMBERED = 2_000_000, 400_000
+#: Rows of a chunk, and rows or n-grams a shard, as powers of two.
+CHUNK, SHARD_ROWS, SHARD_GRAMS = 6, 6, 17
 END = b"\n"  # no word is a line break
-_BITS = np.uint64(21)
-_MASK = np.uint64((1 << 21) - 1)
 
 
 class EliasFano:
@@ -99,294 +98,224 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Level:
-    """N-grams of one length: for each context a run of successors, numbered relative to the shorter context."""
+    """The n-grams of one length in a shard: keys as an Elias-Fano sequence, quantised values by position."""
 
-    def __init__(self, a: dict[str, np.ndarray]):
-        self.pointers = EliasFano({k[2:]: v for k, v in a.items() if k.startswith("p_")})
-        self.grams = EliasFano({k[2:]: v for k, v in a.items() if k.startswith("g_")})
-        self.p, self.p_book, self.b, self.b_book = a["p"], a["book"], a["b"], a["b_book"]
-        self.width = int(a["width"][0])
+    def __init__(self, keys: np.ndarray, logp: np.ndarray, bow: np.ndarray):
+        by = np.argsort(keys)
+        self.grams = EliasFano(EliasFano.pack(keys[by]))
+        self.p, self.p_book = quantised(logp[by])
+        self.b, self.b_book = quantised(bow[by])
 
-    @staticmethod
-    def pack(context: np.ndarray, successor: np.ndarray, contexts: int, width: int, logp: np.ndarray, bow: np.ndarray) -> dict[str, np.ndarray]:
-        """Rows sorted by (context, successor); each run is offset by its context, so the whole is monotone."""
-        pointers = np.searchsorted(context, np.arange(contexts + 1))
-        p, book = quantised(logp)
-        b, b_book = quantised(bow)
-        grams = EliasFano.pack(context * width + successor)
-        return {f"p_{k}": v for k, v in EliasFano.pack(pointers).items()} | {f"g_{k}": v for k, v in grams.items()} | {"p": p, "book": book, "b": b, "b_book": b_book, "width": np.array([width])}
-
-    def run(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.pointers[context], self.pointers[context + 1]
-
-    def find(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """Positions of n-grams, -1 for those that aren't there: a search for the successor in its context's run."""
-        out = np.full(len(context), -1, np.int64)
-        if not self.grams.n or not len(context):
-            return out
-        lo, hi = self.run(context)
-        end, want = hi.copy(), context * self.width + successor
-        while (open_ := np.flatnonzero(lo < hi)).size:
-            mid = (lo[open_] + hi[open_]) // 2
-            less = self.grams[mid] < want[open_]
-            lo[open_[less]], hi[open_[~less]] = mid[less] + 1, mid[~less]
-        at = np.flatnonzero(lo < end)
-        hit = at[self.grams[lo[at]] == want[at]]
-        out[hit] = lo[hit]
-        return out
-
-
-class Trie:
-    """The model of a worker: vocabulary by hash, counts, and two levels."""
-
-    def __init__(self, a: dict[str, np.ndarray]):
-        self.hashes, self.ids, self.count = a["hashes"], a["ids"], a["count"]
-        self.total, self.distinct = (float(x) for x in a["totals"])
-        self.two, self.three = (Level({k[2:]: v for k, v in a.items() if k.startswith(x)}) for x in ("2_", "3_"))
-        self.unigram = np.log10((self.count + ADD) / max(self.total + ADD * (self.distinct + 1), ADD))
-        self.bow = a["bow"]
-        self.memory: dict[bytes, int] = {}
-
-    def number(self, word: bytes) -> int:
-        """The number of a frequent word; of another -2 - its number in the text's list of rare hashes."""
-        h = xxhash.xxh64_intdigest(word)
-        k = int(np.searchsorted(self.hashes, np.uint64(h)))
-        return int(self.ids[k]) if k < len(self.hashes) and int(self.hashes[k]) == h else -1
-
-    def score(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability beyond what a rare word's own p(w) adds; first: starts of texts."""
-        n = len(ids)
-        own = np.where(ids >= 0, self.unigram[np.maximum(ids, 0)] if len(self.unigram) else 0.0, 0.0)
-        prev = np.concatenate(([-1], ids[:-1])) if n else ids
-        prev = np.where(first, -1, prev)
-        two = np.full(n, -1, np.int64)
-        at = np.flatnonzero((prev >= 0) & (ids >= 0))
-        if len(at):
-            key, back = np.unique(prev[at] << 21 | ids[at], return_inverse=True)
-            two[at] = self.two.find(key >> 21, key & int(_MASK))[back]
-        score = own + np.where(prev >= 0, self.bow[np.maximum(prev, 0)] if len(self.bow) else 0.0, 0.0)
-        score = np.where(two >= 0, self.two.p_book[self.two.p[np.maximum(two, 0)]] if self.two.grams.n else 0.0, score)
-        # a trigram's context is the position of its first two words
-        context = np.where(first, -1, np.concatenate(([-1], two[:-1]))) if n else two
-        at = np.flatnonzero(context >= 0)
-        if len(at):
-            score[at] += self.two.b_book[self.two.b[context[at]]]
-            at = at[two[at] >= 0]
-            if len(at):
-                rank = two[at] - self.two.run(prev[at])[0]
-                three = self.three.find(context[at], rank)
-                hit = three >= 0
-                score[at[hit]] = self.three.p_book[self.three.p[three[hit]]] if hit.any() else 0.0
-        return score
-
-
-def build(hashes: np.ndarray, count: np.ndarray, total: int, distinct: int, bigrams: tuple[np.ndarray, np.ndarray, np.ndarray], trigrams: tuple[np.ndarray, ...]) -> dict[str, np.ndarray]:
-    """Arrays of the trie from words (by falling count), (u, v, c) and (u, v, w, c)."""
-    size = len(hashes)
-    order = np.argsort(hashes)
-    base = (count + ADD) / max(total + ADD * (distinct + 1), ADD)
-    u, v, c2 = bigrams
-    by = np.lexsort((v, u))
-    u, v, c2 = u[by], v[by], c2[by]
-    p2 = (c2 - DISCOUNT) / count[u] if size else np.zeros(0)
-    seen, lower = np.bincount(u, p2, size), np.bincount(u, base[v] if size else None, size)
-    bow1 = np.log10(np.clip((1 - seen) / np.clip(1 - lower, 1e-9, None), 1e-9, None))
-    start = np.searchsorted(u, np.arange(size + 1))
-    key2 = u << 21 | v
-    a, b, w, c3 = trigrams
-    context = np.searchsorted(key2, a << 21 | b)
-    tail = np.searchsorted(key2, b << 21 | w)
-    by = np.lexsort((tail, context))
-    context, tail, c3 = context[by], tail[by], c3[by]
-    p3 = (c3 - DISCOUNT) / c2[context] if len(context) else np.zeros(0)
-    seen, lower = np.bincount(context, p3, len(u)), np.bincount(context, p2[tail] if len(tail) else None, len(u))
-    bow2 = np.log10(np.clip((1 - seen) / np.clip(1 - lower, 1e-9, None), 1e-9, None))
-    two = Level.pack(u, v, size, max(size, 1), np.log10(p2), bow2)
-    rank = tail - start[v[context]] if len(context) else tail
-    three = Level.pack(context, rank, len(u), int(max(np.diff(start).max(initial=0), 1)), np.log10(p3), np.zeros(len(c3)))
-    return {"hashes": hashes[order], "ids": order.astype(np.int32), "count": count, "totals": np.array([total, distinct], np.float64), "bow": bow1} | {f"2_{k}": x for k, x in two.items()} | {f"3_{k}": x for k, x in three.items()}
-
-
-def mapped(arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """The same arrays in one memory-mapped file of this worker, which is gone from its folder at once."""
-    with tempfile.NamedTemporaryFile(delete=False) as f:
-        at = {}
-        for k, x in arrays.items():
-            f.write(b"\0" * (-f.tell() % 8))
-            at[k] = f.tell()
-            f.write(np.ascontiguousarray(x).tobytes())
-    whole = np.memmap(f.name, np.uint8, "r") if os.path.getsize(f.name) else np.empty(0, np.uint8)
-    os.unlink(f.name)
-    return {k: whole[at[k] : at[k] + x.nbytes].view(x.dtype) for k, x in arrays.items()}
+    def find(self, want: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions in want of the n-grams that are there, their log10 probabilities and back-off weights."""
+        keys = self.grams[np.arange(self.grams.n)].view(np.uint64)
+        at, hit = _search(keys, want)
+        return hit, self.p_book[self.p[at]], self.b_book[self.b[at]]
 
 
-class _Memory(dict):
-    """Word to number, or to its 64-bit hash plus 2**62 if it is rare."""
+def _search(keys: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in sorted keys, and in want, of those that are in both."""
+    at = np.searchsorted(keys, want)
+    hit = np.flatnonzero(at < len(keys))
+    hit = hit[keys[at[hit]] == want[hit]]
+    return at[hit], hit
+
+
+def mix(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64(u, v) of two long columns, as unsigned numbers."""
+    one, two, three, four, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turned(x: np.ndarray, k: int) -> np.ndarray:
+        return x << np.uint64(k) | x >> np.uint64(64 - k)
+
+    h = np.full(len(u), 42, np.uint64)
+    for x in (u, v):
+        h = turned(h + five + np.uint64(8) ^ turned(x * two, 31) * one, 27) * one + four
+        h = (h ^ h >> np.uint64(33)) * two
+        h = (h ^ h >> np.uint64(29)) * three
+        h ^= h >> np.uint64(32)
+    return h
 
-    def __init__(self, trie: Trie):
-        super().__init__()
-        self.trie = trie
+
+class _Memory(dict):
+    """Word to its 64-bit hash."""
 
     def __missing__(self, word: bytes) -> int:
-        n = self.trie.number(word)
+        h = xxhash.xxh64_intdigest(word)
         if len(self) >= REMEMBERED:
             self.clear()
-        self[word] = n
-        return n
+        self[word] = h
+        return h
 
 
-def _hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word)
+class Tokens:
+    """Hashes of the tokens of texts in a row, and of the bigrams and trigrams that end at each."""
 
+    def __init__(self, texts: list[bytes | None], memory: _Memory):
+        ids, lengths, of = [], [], memory.__getitem__
+        for text in texts:
+            w = common.words(text)
+            ids += map(of, w)
+            ids.append(of(END))
+            lengths.append(len(w) + 1)
+        self.one = np.array(ids, np.uint64)
+        self.lengths = np.array(lengths, np.int64)
+        self.begin = np.concatenate(([0], np.cumsum(self.lengths)[:-1])).astype(np.int64) if lengths else np.zeros(0, np.int64)
+        place = np.arange(len(ids)) - np.repeat(self.begin, self.lengths)
+        #: Places that end a bigram, and those that end a trigram.
+        self.at2, self.at3 = np.flatnonzero(place > 0), np.flatnonzero(place > 1)
+        self.two, self.three = np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.uint64)
+        self.two[self.at2] = mix(self.one[self.at2 - 1], self.one[self.at2])
+        self.three[self.at3] = mix(self.two[self.at3 - 1], self.two[self.at3])
 
-def unigrams(train: DataFrame) -> DataFrame:
-    """h (64-bit hash of a token), c from a text column; every row ends with the end token."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
 
-        def out() -> pa.RecordBatch:
-            h = np.fromiter(map(_hash, held), np.uint64, len(held)).view(np.int64)
-            return pa.record_batch([pa.array(h), pa.array(list(held.values()), pa.int64())], names=["h", "c"])
+def counted(train: DataFrame) -> DataFrame:
+    """kind (1 to 3 words), x, y, c: hashes of words (y is 0), pairs of words, pairs of bigrams, and their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = _Memory()
+        held: list[Tokens] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for kind in (1, 2, 3):
+                if kind == 1:
+                    x, c = np.unique(np.concatenate([t.one for t in held]), return_counts=True)
+                    y = np.zeros_like(x)
+                else:
+                    at, key, part = {2: ("at2", "two", "one"), 3: ("at3", "three", "two")}[kind]
+                    ends = [(t, getattr(t, at)) for t in held]
+                    _, i, c = np.unique(np.concatenate([getattr(t, key)[e] for t, e in ends]), return_index=True, return_counts=True)
+                    x, y = (np.concatenate([getattr(t, part)[e - back] for t, e in ends])[i] for back in (1, 0))
+                yield pa.record_batch([pa.array(np.full(len(x), kind, np.int8)), _long(x), _long(y), pa.array(c.astype(np.int64))], names=["kind", "x", "y", "c"])
 
         for b in batches:
-            for text in common.raw(b.column("text")):
-                held.update(common.words(text))
-                held[END] += 1
-                if len(held) > HELD:
-                    yield out()
-                    held.clear()
+            held.append(Tokens(common.raw(b.column("text")), memory))
+            if sum(len(t.one) for t in held) > HELD:
+                yield from out()
+                held = []
         if held:
-            yield out()
+            yield from out()
 
-    return train.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    parts = train.select("text").mapInArrow(run, "kind byte, x long, y long, c long")
+    return parts.repartition("kind", "x", "y").groupBy("kind", "x", "y").agg(F.sum("c").alias("c"))
 
 
-def _grams(train: DataFrame, model, order: int) -> DataFrame:  # noqa: ANN001
-    """key, c of the n-grams of frequent words (trigrams: of two n-grams in the trie each)."""
+def _back_off(p: str, lower: str) -> Column:
+    """log10 of what a context leaves, over what the shorter context leaves."""
+    return F.log10(F.greatest((1 - F.sum(p)) / F.greatest(1 - F.sum(lower), F.lit(1e-9)), F.lit(1e-9)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(mapped(model.value))
-        of = _Memory(trie).__getitem__
-        keys: list[np.ndarray] = []
-        held = 0
 
-        def out() -> pa.RecordBatch:
-            k, c = np.unique(np.concatenate(keys), return_counts=True)
-            return pa.record_batch([pa.array(k.astype(np.int64)), pa.array(c.astype(np.int64))], names=["key", "c"])
+def learn(train: DataFrame) -> tuple[DataFrame, int, int]:
+    """The model as a table (key, kind, v: a word's count or log10 of p, b: log10 of the back-off weight), N and V."""
+    common.bounded_batches(train.sparkSession)
+    counts = common.materialize(counted(train).filter((F.col("kind") == 1) | (F.col("c") >= LEAST)), "counts")
+    words = counts.filter("kind = 1").select(F.col("x").alias("h"), "c")
+    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    frequent = words.filter(F.col("c") * FREQUENT >= total)  # FREQUENT rows at most
+    two = counts.filter("kind = 2").select(F.col("x").alias("u"), F.col("y").alias("v"), "c", F.xxhash64("x", "y").alias("a"))
+    for side in ("u", "v"):
+        # bigrams of a frequent word don't look it up among all words: their own key deals them out
+        two = two.join(F.broadcast(frequent.select(F.col("h").alias(side), F.col("c").alias("often"))), side, "left")
+        two = two.withColumn("h", F.when(F.col("often").isNull(), F.col(side)).otherwise(F.col("a"))).join(words.withColumnRenamed("c", "seldom"), "h", "left")
+        two = two.withColumn(f"c_{side}", F.coalesce("often", "seldom")).drop("h", "often", "seldom")
+    two = common.materialize(two.select("u", "a", "c", ((F.col("c") - DISCOUNT) / F.col("c_u")).alias("p"), ((F.col("c_v") + ADD) / (total + ADD * (distinct + 1))).alias("lower")), "bigrams")
+    three = counts.filter("kind = 3").select(F.col("x").alias("a"), F.col("y").alias("b"), "c")
+    three = three.join(two.select("a", F.col("c").alias("c2")), "a").join(two.select(F.col("a").alias("b"), F.col("p").alias("lower")), "b")
+    three = common.materialize(three.select("a", "b", ((F.col("c") - DISCOUNT) / F.col("c2")).alias("p"), "lower"), "trigrams")
+    b = F.coalesce("b", F.lit(0.0)).alias("b")
 
-        for b in batches:
-            ids, lengths = [], []
-            for text in common.raw(b.column("text")):
-                w = [*common.words(text), END]
-                ids += map(of, w)
-                lengths.append(len(w))
-            x = np.array(ids, np.int64)
-            first = np.zeros(len(x), bool)
-            first[np.concatenate(([0], np.cumsum(lengths)[:-1]))[: len(lengths)]] = True
-            ok = (x[:-1] >= 0) & (x[1:] >= 0) & ~first[1:]
-            if order == 2:
-                new = x[:-1][ok] << 21 | x[1:][ok]
-            else:
-                two = np.full(len(x), -1, np.int64)  # by the place of the second word
-                at = np.flatnonzero(ok) + 1
-                key, back = np.unique(x[at - 1] << 21 | x[at], return_inverse=True)
-                two[at] = trie.two.find(key >> 21, key & int(_MASK))[back]
-                at = np.flatnonzero((two[:-1] >= 0) & (two[1:] >= 0) & ~first[1:]) + 1
-                new = two[at - 1] << 21 | x[at]
-            keys.append(new)
-            held += len(new)
-            if held > 4_000_000:
-                yield out()
-                keys, held = [], 0
-        if held:
-            yield out()
-
-    return train.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-
-
-def learn(train: DataFrame) -> tuple[DataFrame, dict[str, np.ndarray], int, int]:
-    """Counts (h, c) of all tokens as a table, the trie's arrays, N and V."""
-    spark = train.sparkSession
-    common.bounded_batches(spark)
-    counts = common.materialize(unigrams(train), "unigrams")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(2, -(-total // SHARE))
-    top = counts.filter(F.col("c") >= least).orderBy(F.desc("c"), "h").toPandas()  # SHARE rows at most
-    hashes, c = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
-    none = np.zeros(0, np.int64)
-    arrays = build(hashes, c, total, distinct, (none,) * 3, (none,) * 4)
-    two = three = none, none
-    for order in (2, 3):
-        found = _grams(train, spark.sparkContext.broadcast(arrays), order).filter(F.col("c") >= least).toPandas()  # SHARE rows at most
-        key, n = found["key"].to_numpy(np.int64), found["c"].to_numpy(np.int64)
-        by = np.argsort(key)
-        if order == 2:
-            two = key[by], n[by]
-        else:
-            three = key[by], n[by]
-        u, v = two[0] >> 21, two[0] & int(_MASK)
-        context, w = three[0] >> 21, three[0] & int(_MASK)
-        arrays = build(hashes, c, total, distinct, (u, v, two[1]), (u[context], v[context], w, three[1]))
-    return counts, arrays, total, distinct
-
-
-def score(docs: DataFrame, model: tuple[DataFrame, dict[str, np.ndarray], int, int], *keep: Column) -> DataFrame:
-    """doc_id, the columns of `keep`, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    spark = docs.sparkSession
-    common.bounded_batches(spark)
-    counts, arrays, total, distinct = model
-    shared = spark.sparkContext.broadcast(arrays)
-    # a row keeps its number within this one job only; its own columns travel with it
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "text", F.struct(F.col("doc_id"), *keep).alias("own"))
-    own_type = rows.schema["own"].dataType
+    def level(df: DataFrame, key: Column, kind: int, v: Column, b: Column) -> DataFrame:
+        return df.select(key.alias("key"), F.lit(kind).cast("byte").alias("kind"), v.cast("double").alias("v"), b.alias("b"))
+
+    first = level(words.join(two.groupBy(F.col("u").alias("h")).agg(_back_off("p", "lower").alias("b")), "h", "left"), F.col("h"), 1, F.col("c"), b)
+    second = level(two.join(three.groupBy("a").agg(_back_off("p", "lower").alias("b")), "a", "left"), F.col("a"), 2, F.log10("p"), b)
+    third = level(three, F.xxhash64("a", "b"), 3, F.log10("p"), F.lit(0.0))
+    return common.materialize(first.unionAll(second).unionAll(third), "levels"), total, distinct
+
+
+def _requests(rows: DataFrame) -> DataFrame:
+    """chunk, key: every key of a chunk's n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(mapped(shared.value))
-        of = _Memory(trie).__getitem__
-        log = np.log10(trie.count + ADD)
+        memory = _Memory()
         for b in batches:
-            numbers = b.column("row").to_pylist()
-            ids, lengths, rare_row, rare_hash, rare_n = [], [], [], [], []
-            for row, text in zip(numbers, common.raw(b.column("text")), strict=True):
-                w = [*common.words(text), END]
-                x = list(map(of, w))
-                if -1 in x:
-                    rare = Counter(y for y, n in zip(w, x, strict=True) if n < 0)
-                    rare_row += [row] * len(rare)
-                    rare_hash += map(_hash, rare)
-                    rare_n += rare.values()
-                ids += x
-                lengths.append(len(w))
-            if not numbers:
-                continue
-            x = np.array(ids, np.int64)
-            begin = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
-            first = np.zeros(len(x), bool)
-            first[begin] = True
-            s = np.add.reduceat(trie.score(x, first), begin)
-            base = np.add.reduceat(np.where(x >= 0, log[np.maximum(x, 0)] if len(log) else 0.0, 0.0), begin)
-            known = np.add.reduceat((x >= 0).astype(np.int64), begin)
-            # a row's own sums travel with the rare words, under a hash of the row that spreads them
-            own = np.array([xxhash.xxh64_intdigest(r.to_bytes(8, "little")) for r in numbers], np.uint64).view(np.int64)
-            names = ["row", "h", "n", "tokens", "known", "base", "score", "own"]
-            yield pa.record_batch([pa.array(numbers, pa.int64()), pa.array(own), pa.array([0] * len(numbers), pa.int32()), pa.array(lengths, pa.int64()), pa.array(known), pa.array(base), pa.array(s), b.column("own")], names=names)
-            if rare_row:
-                m = len(rare_row)
-                none = [pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), b.column("own").type)]
-                yield pa.record_batch([pa.array(rare_row, pa.int64()), pa.array(np.array(rare_hash, np.uint64).view(np.int64)), pa.array(rare_n, pa.int32()), *none], names=names)
-
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("h", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("own", own_type)])
-    parts = rows.mapInArrow(run, schema)
+            chunk = b.column("row").to_numpy(zero_copy_only=False) >> CHUNK
+            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i < j:
+                    t = Tokens(common.raw(b.column("text").slice(i, j - i)), memory)
+                    keys = np.unique(np.concatenate((t.one, t.two[t.at2], t.three[t.at3])))
+                    yield pa.record_batch([pa.array(np.full(len(keys), chunk[i])), _long(keys)], names=["chunk", "key"])
+
+    return rows.select("row", "text").mapInArrow(run, "chunk long, key long")
+
+
+def _keys(t: pa.Table) -> np.ndarray:
+    return t.column("key").to_numpy().view(np.uint64)
+
+
+def _answer(asked: pa.Table, shard: pa.Table) -> pa.Table:
+    """chunk, key, kind, v, b of the asked n-grams that a shard has."""
+    want, chunk, keys, kind = _keys(asked), asked.column("chunk").to_numpy(), _keys(shard), shard.column("kind").to_numpy()
+    v, b = shard.column("v").to_numpy(), shard.column("b").to_numpy()
+    of = np.flatnonzero(kind == 1)
+    of = of[np.argsort(keys[of])]
+    at, hit = _search(keys[of], want)
+    found = [(hit, np.full(len(hit), 1, np.int8), v[of][at], b[of][at])]  # counts of words are exact
+    for k in (2, 3):
+        of = np.flatnonzero(kind == k)
+        if len(of):
+            hit, p, bow = Level(keys[of], v[of], b[of]).find(want)
+            found.append((hit, np.full(len(hit), k, np.int8), p, bow))
+    hit, k, p, bow = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pa.table({"chunk": chunk[hit], "key": _long(want[hit]), "kind": k, "v": p, "b": bow})
+
+
+def score(docs: DataFrame, model: tuple[DataFrame, int, int], *keep: Column) -> DataFrame:
+    """doc_id, the columns of `keep`, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    common.bounded_batches(docs.sparkSession)
+    levels, total, distinct = model
+    # written, so that a row keeps its number; its own columns travel with it
+    rows = common.materialize(docs.select(F.monotonically_increasing_id().alias("row"), "text", F.struct(F.col("doc_id"), *keep).alias("own")), "rows")
+    own_type = rows.schema["own"].dataType
+    shards = 1 + max(rows.count() >> SHARD_ROWS, levels.count() >> SHARD_GRAMS)
     norm = float(np.log10(max(total + ADD * (distinct + 1), ADD)))
-    c, n = F.coalesce("c", F.lit(0)), F.col("n")
-    rare = n * F.log10(c + ADD)
-    sums = parts.join(counts, "h", "left").groupBy("row").agg(
-        F.first("own", ignorenulls=True).alias("own"), F.sum("tokens").alias("n_tokens"), (F.sum("known") + F.sum(F.when(c > 0, n).otherwise(0))).alias("n_known"),
-        (F.sum("base") + F.sum(rare)).alias("base"), (F.sum("score") + F.sum(rare - n * norm)).alias("score"),
-    )
-    names = [f.name for f in own_type.fields]
-    return sums.select(*(F.col("own")[x].alias(x) for x in names), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * norm).alias("base_score"), "score")
+
+    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
+        t = Tokens(common.raw(texts.column("text")), _Memory())
+        n = len(t.one)
+        keys = _keys(known)
+        by = np.argsort(keys)
+        keys, kind, v, b = keys[by], *(known.column(c).to_numpy()[by] for c in ("kind", "v", "b"))
+
+        def look(k: int, places: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            of = kind == k
+            at, hit = _search(keys[of], want[places])
+            return places[hit], v[of][at], b[of][at]
+
+        count, bow1, bow2 = np.zeros(n), np.zeros(n), np.zeros(n)
+        at, count_, b_ = look(1, np.arange(n), t.one)
+        count[at], bow1[at] = count_, b_
+        own = np.log10(count + ADD) - norm
+        s = own.copy()
+        s[t.at2] += bow1[t.at2 - 1]
+        at, p, b_ = look(2, t.at2, t.two)
+        s[at], bow2[at] = p, b_
+        s[t.at3] += bow2[t.at3 - 1]
+        at, p, _ = look(3, t.at3, t.three)
+        s[at] = p
+        sums = [np.add.reduceat(x, t.begin) if n else x for x in ((count > 0).astype(np.int64), own, s)]
+        return pa.table({"own": texts.column("own"), "n_tokens": t.lengths, "n_known": sums[0], "base_score": sums[1], "score": sums[2]})
+
+    shard = F.pmod("key", F.lit(shards)).alias("shard")
+    answers = _requests(rows).groupBy(shard).cogroup(levels.groupBy(shard)).applyInArrow(_answer, "chunk long, key long, kind byte, v double, b double")
+    schema = T.StructType([T.StructField("own", own_type), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    out = rows.groupBy(F.shiftright("row", CHUNK).alias("chunk")).cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+    return out.select(*(F.col("own")[f.name].alias(f.name) for f in own_type.fields), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
