@@ -7,8 +7,9 @@ keep a right check digit, addresses right octets, names their script and the gen
 gets the same surrogate everywhere (coreference), in whatever document.
 
 Collision checks: the distinct entities (combined before the shuffle, so a frequent one is no hot key) are compared
-by surrogate; those that share one, or whose surrogate is itself an entity of the table, take their next stream until
-none is left. Entities with other than the first stream, usually none, reach their documents as a map joined by doc_id.
+by surrogate, names word by word; those that share one, or whose surrogate is itself an entity of the table, take their
+next stream until none is left. Entities with other than the first stream, usually none, reach their documents as a map
+joined by doc_id, or by text without one.
 
 Null texts stay null; texts without an entity stay as they are, byte for byte. Repeated rows are treated alike.
 Other columns of the input are kept. 16-digit numbers that fail the card checksum are no entities.
@@ -16,6 +17,8 @@ Other columns of the input are kept. 16-digit numbers that fail the card checksu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +41,9 @@ KINDS = {
 PATTERN = "|".join(f"(?:{x})" for x in KINDS.values())
 #: What every entity has: texts without it are passed on at once.
 HINT = r"[0-9@]|(?i:password|passwd|secret|token|api_key)|Mr|Ms|Frau|Herr|Señor|Madame|Monsieur"
-#: Rounds of the collision check at most; each makes what is left a vanishing part of what was.
-ROUNDS = 12
+#: Rounds of the collision check, each of which leaves a vanishing part of what was; collisions beyond them are an error.
+ROUNDS = 64
+_WOMAN, _MAN = r"\b(?:Mrs\.?|Ms\.?|Frau|Señora|Madame) $", r"\b(?:Mr\.?|Herr|Señor|Monsieur) $"
 _SYLLABLES = {"latin": ["al", "be", "cor", "da", "el", "fi", "gan", "ho", "is", "ju", "ka", "lor", "mi", "na", "os", "ru"], "cyrillic": ["ал", "бе", "вор", "да", "ел", "фи", "ган", "го", "ис", "ка", "лор", "ми", "на", "ос", "ру", "те"], "greek": ["αλ", "βε", "γορ", "δα", "ελ", "φι", "καν", "λο", "ις", "μα", "νορ", "πι", "ρα", "ος", "τυ", "σε"]}
 
 
@@ -47,10 +51,10 @@ def _lit(x: str) -> str:
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _kind(e: str) -> str:
-    """SQL for the kind of an entity that the pattern found; persons carry theirs in front of the name."""
-    order = ("email", "key", "card", "ssn", "ip", "iban")
-    return "CASE " + " ".join(f"WHEN {e} RLIKE {_lit('^(?:' + KINDS[k].replace(_B, '').replace(_E, '') + ')$')} THEN '{k}'" for k in order) + f" WHEN {e} RLIKE {_lit('^[+(][0-9]')} THEN 'phone' WHEN {e} RLIKE {_lit('^[^0-9]*$')} AND {e} RLIKE {_lit(r'^\p{Lu}\p{L}+( \p{Lu}\p{L}+)?$')} THEN 'person' ELSE 'secret' END"
+def _kind(e: str, before: str) -> str:
+    """SQL for the kind of an entity that the pattern found after a text: by its format, else by what stands before it."""
+    order = ("email", "key", "card", "ssn", "ip", "iban", "phone")
+    return "CASE " + " ".join(f"WHEN {e} RLIKE {_lit('^(?:' + KINDS[k].replace(_B, '').replace(_E, '') + ')$')} THEN '{k}'" for k in order) + f" WHEN {before} RLIKE {_lit(_WOMAN)} THEN 'woman' WHEN {before} RLIKE {_lit(_MAN)} THEN 'man' ELSE 'secret' END"
 
 
 def _luhn(d: str) -> str:
@@ -75,76 +79,111 @@ def _masked(e: str, hexed: bool = False) -> str:
     return f"array_join(transform(sequence(1, length({e})), i -> CASE WHEN {c} RLIKE '[0-9]' THEN cast({_byte('i')} % 10 AS string) WHEN {c} RLIKE '[A-Z]' THEN char(65 + {_byte('i')} % 26) WHEN {c} RLIKE '[a-z]' THEN {small.format(_byte('i'))} ELSE {c} END), '')"
 
 
-def _name(w: str, given: str, gender: str) -> str:
-    """SQL for a made-up name in the script of w; given names end as the gender asks."""
+def _forms(w: str) -> str:
+    """SQL for a made-up name in the script of w: as a woman's given name, a man's, and a surname.
+
+    No ending is the end of another, so two words share a form only if they share all.
+    """
     make = {}
     for script, syllables in _SYLLABLES.items():
         a = "array(" + ", ".join(map(_lit, syllables)) + ")"
         ends = {"latin": ("a", "o", "en"), "cyrillic": ("а", "ий", "ин"), "greek": ("α", "ος", "ης")}[script]
-        end = f"CASE WHEN {given} AND {gender} = 'woman' THEN '{ends[0]}' WHEN {given} THEN '{ends[1]}' ELSE '{ends[2]}' END"
-        make[script] = f"initcap(concat(array_join(transform(sequence(1, 6), i -> {a}[{_byte('i')} % 16]), ''), {end}))"
+        stem = f"array_join(transform(sequence(1, 6), i -> {a}[{_byte('i')} % 16]), '')"
+        make[script] = f"transform(array({', '.join(map(_lit, ends))}), x -> initcap(concat({stem}, x)))"
     return rf"CASE WHEN {w} RLIKE '\\p{{IsCyrillic}}' THEN {make['cyrillic']} WHEN {w} RLIKE '\\p{{IsGreek}}' THEN {make['greek']} ELSE {make['latin']} END"
 
 
-def surrogate_sql(e: str, attempt: str, key: str = KEY, gender: str = "'man'") -> str:
-    """SQL for the surrogate of entity e; gender is that of the title before a person."""
+def _stream(of: str, attempt: str, key: str) -> str:
+    return f"concat(sha2(concat_ws('|', {_lit(key)}, {of}, {attempt}, 0), 512), sha2(concat_ws('|', {_lit(key)}, {of}, {attempt}, 1), 512))"
+
 
-    def stream(of: str) -> str:
-        return f"concat(sha2(concat_ws('|', {_lit(key)}, {of}, {attempt}, 0), 512), sha2(concat_ws('|', {_lit(key)}, {of}, {attempt}, 1), 512))"
+def _forms_of(w: str, attempt: str, key: str) -> str:
+    """SQL for the forms of a name's word by its own stream, so that the surname alone gets what it gets in the whole name."""
+    return _let(_stream(f"concat('name|', {w})", attempt, key), "st", _forms(w))
 
+
+def _other(e: str, attempt: str, key: str) -> str:
+    """SQL for the surrogate of an entity that is no person, its kind in `kind`."""
     digits = f"regexp_replace({e}, '[^0-9]', '')"
     card = _let(f"concat(substr({digits}, 1, 1), array_join(transform(sequence(2, 15), i -> cast({_byte('i')} % 10 AS string)), ''))", "d15", _let(f"concat(d15, cast((10 - {_luhn("concat(d15, '0')")} % 10) % 10 AS string))", "d16", f"array_join(transform(sequence(1, length({e})), i -> CASE WHEN substr({e}, i, 1) RLIKE '[0-9]' THEN substr(d16, length(regexp_replace(substr({e}, 1, i), '[^0-9]', '')), 1) ELSE substr({e}, i, 1) END), '')"))
     email = f"concat({_masked(f"split({e}, '@')[0]")}, '@mail', {', '.join(f'lower(char(97 + {_byte(str(100 + k))} % 26))' for k in range(6))}, '.example.com')"
     ip = f"concat_ws('.', 1 + {_byte('1')} % 223, {_byte('2')}, {_byte('3')}, {_byte('4')})"
     phone = rf"concat(regexp_extract({e}, '^(\\+[0-9]{{1,3}}(?=[ .(-])[ .-]?)?', 0), {_masked(rf"regexp_replace({e}, '^\\+[0-9]{{1,3}}(?=[ .(-])[ .-]?', '')")})"
-    # each word of a name has its own stream, so that the surname alone gets what it gets in the whole name
-    word = _let(stream("concat('name|', w)"), "st", _name("w", "(size(ws) = 2 AND k = 0)", gender))
-    person = _let(f"split({e}, ' ')", "ws", f"array_join(transform(ws, (w, k) -> {word}), ' ')")
     secret = f"CASE WHEN {e} RLIKE '^[0-9a-f]+$' THEN {_masked(e, True)} ELSE {_masked(e)} END"
     body = f"CASE kind WHEN 'email' THEN {email} WHEN 'key' THEN concat('AKIA', {_masked(f'substr({e}, 5)')}) WHEN 'iban' THEN concat(substr({e}, 1, 2), {_masked(f'substr({e}, 3)')}) WHEN 'card' THEN CASE WHEN {_luhn(digits)} % 10 = 0 THEN {card} ELSE {e} END WHEN 'ssn' THEN concat('9', {_masked(f'substr({e}, 2)')}) WHEN 'ip' THEN {ip} WHEN 'phone' THEN {phone} ELSE {secret} END"
-    return _let(_kind(e), "kind", f"CASE WHEN kind = 'person' THEN {person} ELSE {_let(stream(f"concat(kind, '|', {e})"), 'st', body)} END")
+    return _let(_stream(f"concat(kind, '|', {e})", attempt, key), "st", body)
+
+
+def _id(e: str, person: bool) -> str:
+    """SQL for what tells entities apart: a name's word isn't the secret of the same text."""
+    return f"concat('name|', {e})" if person else e
 
 
-def _gender(part: str) -> str:
-    """SQL for the gender that the title at the end of the text before a name tells."""
-    return f"CASE WHEN {part} RLIKE {_lit('(Mrs|Ms|Frau|Señora|Madame)[.]? $')} THEN 'woman' ELSE 'man' END"
+def surrogate_sql(e: str, before: str, attempt: Callable[[str], str], key: str = KEY) -> str:
+    """SQL for the surrogate of entity e after a text; attempt gives the SQL for the stream's number of an id."""
+    form = "CASE WHEN size(ws) = 1 OR k = 1 THEN 2 WHEN kind = 'woman' THEN 0 ELSE 1 END"
+    person = _let(f"split({e}, ' ')", "ws", f"array_join(transform(ws, (w, k) -> ({_forms_of('w', attempt(_id('w', True)), key)})[{form}]), ' ')")
+    return _let(_kind(e, before), "kind", f"CASE WHEN kind IN ('woman', 'man') THEN {person} ELSE {_other(e, attempt(_id(e, False)), key)} END")
 
 
 def _found(text: str) -> str:
     return f"CASE WHEN {text} RLIKE {_lit(HINT)} THEN regexp_extract_all({text}, {_lit(PATTERN)}, 0) END"
 
 
+def _with_found(text: str, body: str) -> str:
+    """SQL for body with the entities of text in fs and the parts of text around them in parts; null without any."""
+    return _let(_found(text), "fs", f"CASE WHEN size(fs) > 0 THEN {_let(f'split({text}, {_lit(PATTERN)}, -1)', 'parts', body)} END")
+
+
+#: What stands before entity n, with the entity before that: a title or a field's name may be part of it.
+_BEFORE = "CASE WHEN n > 0 THEN concat(fs[n - 1], parts[n]) ELSE parts[n] END"
+
+
+def _entities(text: str) -> str:
+    """SQL for the entities of text with their kinds, persons word by word with kind 'name'."""
+    one = _let(_kind("e", "before"), "kind", "CASE WHEN kind IN ('woman', 'man') THEN transform(split(e, ' '), w -> struct('name' AS kind, w AS entity)) ELSE array(struct(kind AS kind, e AS entity)) END")
+    return _with_found(text, f"flatten(transform(fs, (e, n) -> {_let(_BEFORE, 'before', one)}))")
+
+
 def entities(docs: DataFrame) -> DataFrame:
-    """Distinct entities but persons, whose names are no closed set of surrogates, in a column entity."""
-    return docs.select(F.explode(F.expr(_found("text"))).alias("entity")).distinct().filter(F.expr(f"{_kind('entity')} <> 'person'"))
+    """Distinct entities with their kinds, in columns kind and entity; persons word by word."""
+    return docs.select(F.explode(F.expr(_entities("text"))).alias("x")).select("x.kind", "x.entity").distinct()
 
 
 def later_streams(found: DataFrame, key: str = KEY) -> DataFrame | None:
-    """entity, attempt of those that collide at the first stream; None if none does."""
+    """id, attempt of those that collide at the first stream; None if none does. Raises if collisions remain."""
+    found = common.materialize(found.withColumn("id", F.expr(f"CASE WHEN kind = 'name' THEN {_id('entity', True)} ELSE {_id('entity', False)} END")), "entities")
     state = found.withColumn("attempt", F.lit(0))
+    forms = F.expr(f"CASE WHEN kind = 'name' THEN {_forms_of('entity', 'attempt', key)} ELSE array({_other('entity', 'attempt', key)}) END")
     for _ in range(ROUNDS):
-        made = common.materialize(state.withColumn("s", F.expr(surrogate_sql("entity", "attempt", key))), "surrogates")
-        taken = made.filter("s <> entity").select("s").join(found.select(F.col("entity").alias("s")), "s", "left_semi").distinct().withColumn("own", F.lit(None).cast("string"))
-        shared = made.groupBy("s").agg(F.count("*").alias("n"), F.min("entity").alias("own")).filter("n > 1").select("s", "own")
+        made = common.materialize(state.withColumn("forms", forms).withColumn("s", F.col("forms")[0]), "surrogates")
+        free = (F.col("kind") == "name") | (F.col("s") != F.col("entity"))  # others stay as they are on purpose
+        taken = made.filter(free).select("s", F.explode("forms").alias("form")).join(found.select(F.col("entity").alias("form")), "form", "left_semi").select("s").distinct().withColumn("own", F.lit(None).cast("string"))
+        shared = made.groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("own")).filter("n > 1").select("s", "own")
         bad = shared.join(taken.select("s"), "s", "left_anti").unionAll(taken)
         if bad.isEmpty():
             break
-        hit = made.join(bad, "s").filter("own is null or own <> entity").filter("s <> entity").select("entity", F.lit(1).alias("more"))
-        state = made.select("entity", "attempt").join(hit, "entity", "left").select("entity", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt"))
-    later = made.filter("attempt > 0").select("entity", "attempt")
+        hit = made.join(bad, "s").filter("own is null or own <> id").filter(free).select("id", F.lit(1).alias("more"))
+        state = made.select("kind", "entity", "id", "attempt").join(hit, "id", "left").select("kind", "entity", "id", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt"))
+    else:
+        raise RuntimeError(f"surrogates still collide after {ROUNDS} rounds")
+    later = made.filter("attempt > 0").select("id", "attempt")
     return None if later.isEmpty() else later
 
 
 def surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with text rewritten, in its own columns, and n_entities."""
     later = later_streams(entities(docs), key)
-    out, attempt = docs, "0"
+    out, attempt = docs, lambda _: "0"
     if later is not None:
-        pairs = docs.filter("doc_id is not null").select(F.col("doc_id").alias("_id"), F.explode(F.expr(_found("text"))).alias("entity")).distinct().join(later, "entity")
-        maps = pairs.groupBy("_id").agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias("_later"))
-        out, attempt = docs.join(maps, docs["doc_id"] == maps["_id"], "left").drop("_id"), "coalesce(try_element_at(_later, e), 0)"
-    parts = f"split(text, {_lit(PATTERN)}, -1)"
-    whole = _let(parts, "parts", f"array_join(flatten(zip_with(parts, transform({_found('text')}, (e, n) -> {surrogate_sql('e', attempt, key, _gender('parts[n]'))}), (p, s) -> array(p, coalesce(s, '')))), '')")
+        # rows that share a number share a map, which holds what is right for both
+        row = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+        of = "CASE WHEN x.kind = 'name' THEN " + _id("x.entity", True) + " ELSE " + _id("x.entity", False) + " END"
+        pairs = docs.select(row.alias("_id"), F.explode(F.expr(_entities("text"))).alias("x")).select("_id", F.expr(of).alias("id")).distinct().join(later, "id")
+        maps = pairs.groupBy("_id").agg(F.map_from_entries(F.collect_set(F.struct("id", "attempt"))).alias("_later"))
+        out, attempt = docs.withColumn("_id", row).join(maps, "_id", "left").drop("_id"), lambda x: f"coalesce(try_element_at(_later, {x}), 0)"
+    one = _let(_BEFORE, "before", surrogate_sql("e", "before", attempt, key))
+    whole = _with_found("text", f"array_join(flatten(zip_with(parts, transform(fs, (e, n) -> {one}), (p, s) -> array(p, coalesce(s, '')))), '')")
     n = F.coalesce(F.size(F.expr(_found("text"))), F.lit(0)).cast("long")
     out = out.withColumn("_n", n).withColumn("_new", F.when(F.col("_n") > 0, F.expr(whole)).otherwise(F.col("text")))
     return out.select(*(F.col("_new").alias(c) if c == "text" else F.col(c) for c in docs.columns), F.col("_n").alias("n_entities"))
