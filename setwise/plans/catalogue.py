@@ -141,7 +141,7 @@ sql("sql_null_table", "SELECT 1 + 2 AS x, 'a' || 'b' AS y", "SELECT 3 AS x, 'ab'
 sql("sql_inner_join", "SELECT o._id, c.name, o.cents FROM t_orders o INNER JOIN t_customers c ON o.custkey = c._id WHERE c.segment = 'BUILDING'")
 sql("sql_left_join", "SELECT c._id, o._id AS orderid FROM t_customers c LEFT JOIN t_orders o ON o.custkey = c._id AND o.cents = 1")
 sql("sql_comma_join", "SELECT c._id, o._id AS orderid FROM t_customers c, t_orders o WHERE o.custkey = c._id AND o.cents = 2")
-sql("sql_theta_join", "SELECT p._id AS a, q._id AS b FROM t_parts p INNER JOIN t_parts q ON p.size = q.size AND p.price < q.price AND p._id < 40 WHERE q._id < 60")
+sql("sql_theta_join", "SELECT p._id AS a, q._id AS b FROM t_parts p INNER JOIN t_parts q ON p.size = q.size AND p.price < q.price")
 sql("sql_three_way_join", "SELECT n.n_name AS nation, count(*) AS n, sum(o.cents) AS total FROM t_orders o INNER JOIN t_customers c ON o.custkey = c._id INNER JOIN nation n ON n.n_nationkey = c.nation GROUP BY n.n_name", "SELECT n.n_name AS nation, count(*) AS n, CAST(sum(o.cents) AS BIGINT) AS total FROM t_orders o JOIN t_customers c ON o.custkey = c._id JOIN nation n ON n.n_nationkey = c.nation GROUP BY n.n_name")
 sql("sql_in_subquery", "SELECT _id FROM t_customers WHERE _id IN (SELECT custkey FROM t_orders WHERE cents = 7)")
 sql("sql_not_in_subquery", "SELECT _id FROM t_customers WHERE _id NOT IN (SELECT custkey FROM t_orders WHERE cents < 60)")
