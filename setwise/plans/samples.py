@@ -13,7 +13,7 @@ PARTS = "SELECT p_partkey AS _id, p_name AS name, p_brand AS brand, p_type AS ty
 CUSTOMERS = "SELECT c_custkey AS _id, c_name AS name, CAST(c_nationkey AS BIGINT) AS nation, c_mktsegment AS segment, CAST(c_acctbal AS DECIMAL(18,2)) AS balance FROM customer"
 LINES = "SELECT l_orderkey AS orderkey, l_partkey AS partkey, CAST(l_quantity AS BIGINT) AS quantity, CAST(l_extendedprice AS DECIMAL(18,2)) AS price, CAST(l_discount AS DECIMAL(18,2)) AS discount, l_returnflag AS flag, l_linestatus AS linestatus, l_shipdate AS shipdate FROM lineitem"
 #: Members of customers' sets, one row each: urgent and high priorities only, so that some sets are null.
-MEMBERS = "SELECT DISTINCT o_custkey AS _id, o_orderpriority AS v FROM orders WHERE o_orderpriority < '3' AND o_orderkey % 3 = 0"
+MEMBERS = "SELECT DISTINCT o_custkey AS _id, o_orderpriority AS v FROM orders WHERE o_orderpriority < '3'"
 NAMES = {"orders": ORDERS, "parts": PARTS, "customers": CUSTOMERS, "lines": LINES}
 #: Common table expressions for the oracle.
 WITH = "WITH " + ", ".join(f"t_{k} AS ({v})" for k, v in NAMES.items()) + f", members AS ({MEMBERS}), hits AS (SELECT user_id AS _id, event_type AS v, ts FROM events) "
@@ -37,7 +37,7 @@ def index_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def customers_with_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with the set of their urgent and high priorities; null without any."""
-    sets = read(spark, sf_dir, "orders").filter("o_orderpriority < '3' AND o_orderkey % 3 = 0").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("priorities"))
+    sets = read(spark, sf_dir, "orders").filter("o_orderpriority < '3'").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("priorities"))
     customers = index_table(spark, sf_dir, "customers")
     return customers.join(sets, customers["_id"] == sets["o_custkey"], "left").drop("o_custkey")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow.parquet as pq
 
 from setwise.plans.catalogue import QUERIES
+from setwise.plans.samples import customers_with_sets
 
 
 def table(sf_dir: str, name: str) -> list[dict]:
@@ -15,3 +16,12 @@ def test_theta_join_takes_all_parts(spark, sf_dir) -> None:
     parts = [(r["p_partkey"], r["p_size"], round(r["p_retailprice"], 2)) for r in table(sf_dir, "part")]
     want = sorted((a, b) for a, s, x in parts for b, t, y in parts if s == t and x < y)
     assert sorted((r["a"], r["b"]) for r in QUERIES["sql_theta_join"](spark, sf_dir).collect()) == want
+
+
+def test_sets_hold_all_urgent_and_high_orders(spark, sf_dir) -> None:
+    want = {r["c_custkey"]: set() for r in table(sf_dir, "customer")}
+    for r in table(sf_dir, "orders"):
+        if r["o_orderpriority"] < "3" and r["o_custkey"] in want:
+            want[r["o_custkey"]].add(r["o_orderpriority"])
+    got = {r["_id"]: set(r["priorities"] or ()) for r in customers_with_sets(spark, sf_dir).collect()}
+    assert got == want
