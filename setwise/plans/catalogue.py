@@ -26,7 +26,7 @@ def add(name: str, run: Query, oracle: str | None = None) -> None:
         SQL[name] = oracle if oracle.startswith("WITH") else WITH + oracle
 
 
-def call(name: str, index: str, text: str, oracle: str, *columns: str) -> None:
+def call(name: str, index: str, text: str, oracle: str | None, *columns: str) -> None:
     """A query in the call language; columns are SQL expressions of its result."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +93,9 @@ call("pql_minrow", "customers", "MinRow(field=priorities)", "SELECT v AS value,
 call("pql_maxrow", "customers", "MaxRow(Row(segment='BUILDING'), field=priorities)", "SELECT v AS value, count(*) AS count FROM members JOIN t_customers USING (_id) WHERE segment = 'BUILDING' GROUP BY v ORDER BY v DESC LIMIT 1")
 call("pql_percentile", "orders", "Percentile(field=cents, nth=0, filter=Row(status='F'))", "SELECT min(cents) AS value, count(*) AS count FROM t_orders WHERE status = 'F'")
 call("pql_percentile_max", "parts", "Percentile(field=price, nth=100)", "SELECT max(price) AS value, count(*) AS count FROM t_parts")
+# the bisection may end at a value that no record has, which SQL can't tell
+call("pql_percentile_50", "orders", "Percentile(field=cents, nth=50, filter=Row(status='F'))", None)
+call("pql_percentile_99", "parts", "Percentile(field=price, nth=99)", None)
 call("pql_topn", "customers", "TopN(priorities, n=2)", "SELECT v AS value, count(*) AS count FROM members GROUP BY v ORDER BY count DESC, v LIMIT 2")
 call("pql_topn_source", "orders", "TopN(priority, Row(status='F'), n=3, threshold=5)", "SELECT priority AS value, count(*) AS count FROM t_orders WHERE status = 'F' GROUP BY priority HAVING count(*) >= 5 ORDER BY count DESC, value LIMIT 3")
 call("pql_topn_ids", "orders", "TopN(priority, ids=['1-URGENT', '5-LOW'])", "SELECT priority AS value, count(*) AS count FROM t_orders WHERE priority IN ('1-URGENT', '5-LOW') GROUP BY priority")

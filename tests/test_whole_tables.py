@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import pyarrow.parquet as pq
+import pytest
 
+from setwise.functions import percentile
 from setwise.plans.catalogue import QUERIES
 from setwise.plans.samples import customers_with_sets
 
@@ -25,3 +29,31 @@ def test_sets_hold_all_urgent_and_high_orders(spark, sf_dir) -> None:
             want[r["o_custkey"]].add(r["o_orderpriority"])
     got = {r["_id"]: set(r["priorities"] or ()) for r in customers_with_sets(spark, sf_dir).collect()}
     assert got == want
+
+
+def bisected(values: list[int], nth: int) -> int:
+    """Halves the domain between the extremes, counting all values at every step."""
+    less, greater = len(values) * nth // 100, len(values) * (100 - nth) // 100
+    low, high = min(values), max(values)
+    at = low
+    while low < high:
+        at = (low + high) // 2
+        if sum(x < at for x in values) > less:
+            high = at - 1
+        elif sum(x > at for x in values) > greater:
+            low = at + 1
+        else:
+            break
+    return at
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_inner_percentiles(spark, sf_dir, monkeypatch, local) -> None:
+    if not local:
+        monkeypatch.setattr(percentile, "LOCAL", 0)
+    cents = [int(r["o_totalprice"]) % 100 for r in table(sf_dir, "orders") if r["o_orderstatus"] == "F"]
+    prices = [round(r["p_retailprice"] * 100) for r in table(sf_dir, "part")]
+    got = QUERIES["pql_percentile_50"](spark, sf_dir).first()
+    assert (got["value"], got["count"]) == (bisected(cents, 50), len(cents))
+    got = QUERIES["pql_percentile_99"](spark, sf_dir).first()
+    assert (got["value"], got["count"]) == (Decimal(bisected(prices, 99)).scaleb(-2), len(prices))
