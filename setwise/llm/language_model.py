@@ -1,18 +1,28 @@
-"""LM scoring with an n-gram model whose levels are Elias-Fano sequences, dealt in shards.
+"""LM scoring by an Elias-Fano n-gram trie that is dealt in shards, learnt and asked in one exchange.
 
-Counts of all training tokens make the base estimate p(w) = (c + 0.1) / (N + 0.1 (V + 1)). Above it stand bigrams and
-trigrams with absolute discounting and back-off weights that keep each distribution whole: what is not in the model
-falls back to shorter contexts and last to p(w).
+The model has every word, bigram and trigram of the training texts, at every size of the corpus; none is pruned. With
+counts c, N tokens and V distinct ones, p(w) = (c + 0.1) / (N + 0.1 (V + 1)), and longer contexts smooth by pseudo-counts:
+p(w | v) = (c(v w) + M2 p(w)) / (c(v) + M2), p(w | u v) = alpha + beta p(w | v), where the trie keeps
+alpha = c(u v w) / (c(u v) + M3) with the trigram and beta = M3 / (c(u v) + M3) with its context. Each sums to 1 over w.
 
-All words, and all bigrams and trigrams that occur LEAST times, make the model, at every size of the corpus. Its levels
-are tables in the shared folder, never on the driver or broadcast. An n-gram's key is the hash of its context chain:
-a word's hash, (u, v) of two words, ((u, v), (v, w)) of two bigrams. Keys are dealt to shards by hash; a shard keeps the
-keys of a level as one monotone sequence in Elias-Fano form, beside log10 probabilities and back-off weights quantised
-to 8 bits. Rows are scored in small chunks: a chunk asks every key once, whatever its frequency, so that no key is
-hot, and the answers meet its texts again.
+1. Rows are taken in chunks of bounded bytes. A chunk sends the distinct words and trigrams of its texts, with their
+   counts in training rows, to shards by the hash of the word or of the context: one block a shard, contexts in
+   Elias-Fano form. So a frequent n-gram goes out once a chunk, and trigrams of one context meet in one shard.
+2. A shard sums the counts and builds its levels in one flat buffer that is mapped, not parsed: contexts as an
+   Elias-Fano sequence, pointers from each to its first successor as another, successors relative to their context as
+   a third, and alpha and beta in 16 bits (steps of 1/5000 in log10). It answers each block by successor search, for the
+   context and then among what its two pointers enclose. Counts of words are exact.
+3. The answers meet the texts of their chunk again.
+
+A context's key has REST bits beyond its shard, so that an unseen one is taken for a seen one with odds of about 1e-5 at
+any size; words have 64 bits. Contexts that hold much of a sample's tokens are split: each of their trigrams is a context
+of its own, and one entry a chunk counts the context. This routes them only; counts are the same with and without it.
+
+Chunks are made in the order of a partition's rows, twice: `docs` must read alike each time, as tables do.
 
 Null and empty texts have the end token alone. A null doc_id is neither learnt from nor held out. Repeated rows are
-scored alike, each alone. Without training rows N and V are 0 and every token has probability 1.
+scored alike, each alone; ties don't matter. Without training rows N and V are 0 and every token has probability 1.
+Columns of the input other than those asked for play no part.
 """
 
 from __future__ import annotations
@@ -21,304 +31,470 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from setwise.llm import common
 
-ADD, DISCOUNT = 0.1, 0.5
-#: Occurrences of a bigram or trigram in the model, for any number of training tokens.
-LEAST = 2
-#: Words with at least one such share of all tokens (so at most so many) are broadcast for joins that they would skew.
-FREQUENT = 1 << 13
-#: Tokens whose n-grams a worker counts before it hands them on, and words whose hashes it remembers.
-HELD, REMEMBERED = 2_000_000, 400_000
-#: Rows of a chunk, and rows or n-grams a shard, as powers of two.
-CHUNK, SHARD_ROWS, SHARD_GRAMS = 6, 6, 17
-END = b"\n"  # no word is a line break
+ADD, M2, M3 = 0.1, 20.0, 3.0
+#: Bytes of text and rows of a chunk, and bytes of text for which there is one shard, as a power of two.
+CHUNK_BYTES, CHUNK_ROWS, SHARD = 4 << 20, 8192, 23
+#: Bits of a context's key beyond its shard, and of a successor's.
+REST, NEXT = 37, 24
+#: Steps of log10 for quantised values; the largest code stands for a successor that isn't there.
+STEPS, ABSENT = 5000, 0xFFFF
+#: Rows looked at for contexts to split: those with a share of 1/SPLIT of their bigrams.
+SAMPLE_ROWS, SPLIT = 20_000, 256
+
+_SEGMENT = 1 << 20
+_U = np.uint64
+_ODD = 0x9E3779B97F4A7C15
+_END = _U(0x7F4A7C159E3779B9)
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+
+
+def spread(h: np.ndarray) -> np.ndarray:
+    """Every bit of the result depends on every bit of h (in place)."""
+    for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xCA5A826395121157), (32, 1)):
+        h ^= h >> _U(shift)
+        h *= _U(factor)
+    return h
 
 
-class EliasFano:
-    """A monotone sequence: low bits in words, high bits as unary gaps with a running count of ones."""
+def _letters() -> np.ndarray:
+    out = spread(np.arange(1, 257, dtype=_U) * _U(_ODD))
+    out[65:91] = out[97:123]
+    return out
 
-    def __init__(self, arrays: dict[str, np.ndarray]):
-        self.low, self.high, self.ones = arrays["low"], arrays["high"], arrays["ones"]
-        self.n, self.bits = (int(x) for x in arrays["head"])
 
-    @staticmethod
-    def pack(values: np.ndarray) -> dict[str, np.ndarray]:
-        n = len(values)
-        top = int(values[-1]) + 1 if n else 1
-        bits = max(0, (top // max(n, 1)).bit_length() - 1)
-        v = values.astype(np.uint64)
-        low = np.zeros(n * bits // 64 + 2, np.uint64)
-        if bits:
-            part, at = v & np.uint64((1 << bits) - 1), np.arange(n, dtype=np.uint64) * np.uint64(bits)
-            word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-            np.bitwise_or.at(low, word, part << shift)
-            over = shift + np.uint64(bits) > 64
-            np.bitwise_or.at(low, word[over] + 1, part[over] >> (np.uint64(64) - shift[over]))
-        place = (v >> np.uint64(bits)).astype(np.int64) + np.arange(n)
-        high = np.zeros((int(place[-1]) if n else 0) // 64 + 1, np.uint64)
-        np.bitwise_or.at(high, place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
-        ones = np.concatenate(([0], np.cumsum(np.bitwise_count(high)))).astype(np.uint32)
-        return {"low": low, "high": high, "ones": ones, "head": np.array([n, bits], np.int64)}
-
-    def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        """Values at positions i."""
-        i = np.asarray(i, np.int64)
-        word = np.searchsorted(self.ones, i, "right") - 1
-        left, x, at = (i - self.ones[word]).astype(np.int64), self.high[word].copy(), np.zeros(len(i), np.int64)
-        for width in (32, 16, 8, 4, 2, 1):  # the place of the one numbered `left` in x, by halves
-            count = np.bitwise_count(x & np.uint64((1 << width) - 1)).astype(np.int64)
-            right = left >= count
-            left -= np.where(right, count, 0)
-            at += np.where(right, width, 0)
-            x = np.where(right, x >> np.uint64(width), x)
-        value = (word * 64 + at - i).astype(np.uint64) << np.uint64(self.bits)
-        if self.bits:
-            place = i.astype(np.uint64) * np.uint64(self.bits)
-            w, s = (place >> np.uint64(6)).astype(np.int64), place & np.uint64(63)
-            part = self.low[w] >> s
-            part |= np.where(s > 0, self.low[w + 1] << ((np.uint64(64) - s) & np.uint64(63)), np.uint64(0))
-            value |= part & np.uint64((1 << self.bits) - 1)
-        return value.astype(np.int64)
-
-
-def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """8-bit codes and the mean of each code's values, codes of equal size."""
-    if not len(x):
-        return np.zeros(0, np.uint8), np.zeros(1)
-    edges = np.unique(np.quantile(x, np.linspace(0, 1, 257)[1:-1]))
-    code = np.searchsorted(edges, x, "right").astype(np.uint8)
-    n = np.maximum(np.bincount(code, minlength=256), 1)
-    return code, np.bincount(code, x, 256) / n
-
-
-class Level:
-    """The n-grams of one length in a shard: keys as an Elias-Fano sequence, quantised values by position."""
-
-    def __init__(self, keys: np.ndarray, logp: np.ndarray, bow: np.ndarray):
-        by = np.argsort(keys)
-        self.grams = EliasFano(EliasFano.pack(keys[by]))
-        self.p, self.p_book = quantised(logp[by])
-        self.b, self.b_book = quantised(bow[by])
-
-    def find(self, want: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions in want of the n-grams that are there, their log10 probabilities and back-off weights."""
-        keys = self.grams[np.arange(self.grams.n)].view(np.uint64)
-        at, hit = _search(keys, want)
-        return hit, self.p_book[self.p[at]], self.b_book[self.b[at]]
-
-
-def _search(keys: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in sorted keys, and in want, of those that are in both."""
-    at = np.searchsorted(keys, want)
-    hit = np.flatnonzero(at < len(keys))
-    hit = hit[keys[at[hit]] == want[hit]]
-    return at[hit], hit
-
-
-def mix(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64(u, v) of two long columns, as unsigned numbers."""
-    one, two, three, four, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-
-    def turned(x: np.ndarray, k: int) -> np.ndarray:
-        return x << np.uint64(k) | x >> np.uint64(64 - k)
-
-    h = np.full(len(u), 42, np.uint64)
-    for x in (u, v):
-        h = turned(h + five + np.uint64(8) ^ turned(x * two, 31) * one, 27) * one + four
-        h = (h ^ h >> np.uint64(33)) * two
-        h = (h ^ h >> np.uint64(29)) * three
-        h ^= h >> np.uint64(32)
-    return h
+_LETTER = _letters()
 
 
-class _Memory(dict):
-    """Word to its 64-bit hash."""
+class _Powers:
+    """Powers of an odd number modulo 2^64 and of its inverse, as many as were needed."""
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = h
-        return h
+    base, inverse = _U(0xD1342543DE82EF95), _U(pow(0xD1342543DE82EF95, -1, 1 << 64))
+    up = down = np.ones(1, _U)
 
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            cls.up, cls.down = (np.cumprod(np.concatenate(([_U(1)], np.full(n - 1, x)))) for x in (cls.base, cls.inverse))
+        return cls.up, cls.down
 
-class Tokens:
-    """Hashes of the tokens of texts in a row, and of the bigrams and trigrams that end at each."""
 
-    def __init__(self, texts: list[bytes | None], memory: _Memory):
-        ids, lengths, of = [], [], memory.__getitem__
-        for text in texts:
-            w = common.words(text)
-            ids += map(of, w)
-            ids.append(of(END))
-            lengths.append(len(w) + 1)
-        self.one = np.array(ids, np.uint64)
-        self.lengths = np.array(lengths, np.int64)
-        self.begin = np.concatenate(([0], np.cumsum(self.lengths)[:-1])).astype(np.int64) if lengths else np.zeros(0, np.int64)
-        place = np.arange(len(ids)) - np.repeat(self.begin, self.lengths)
-        #: Places that end a bigram, and those that end a trigram.
-        self.at2, self.at3 = np.flatnonzero(place > 0), np.flatnonzero(place > 1)
-        self.two, self.three = np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.uint64)
-        self.two[self.at2] = mix(self.one[self.at2 - 1], self.one[self.at2])
-        self.three[self.at3] = mix(self.two[self.at3 - 1], self.two[self.at3])
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words in bytes: polynomials in the place in the word, A-Z like a-z."""
+    out = np.empty(len(starts), _U)
+    i = 0
+    while i < len(starts):
+        j = max(int(np.searchsorted(ends, starts[i] + _SEGMENT, "right")), i + 1)
+        begin, end = int(starts[i]), int(ends[j - 1])
+        up, down = _Powers.of(max(end - begin, _SEGMENT))
+        sums = np.zeros(end - begin + 1, _U)
+        np.cumsum(_LETTER[data[begin:end]] * up[: end - begin], out=sums[1:])
+        s = starts[i:j] - begin
+        out[i:j] = (sums[ends[i:j] - begin] - sums[s]) * down[s]
+        i = j
+    return spread(out)
+
 
+def pair(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ordered pairs."""
+    return spread(u * _U(0xA24BAED4963EE407) + (v ^ v >> _U(31)) * _U(_ODD))
 
-def _long(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
 
+class Tokens:
+    """Token hashes of texts in a row, each with an end, and the contexts of two tokens that end at each but a text's first."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        word = ~_SPACE[data]
+        before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
+        before[1:], after[:-1] = word[:-1], word[1:]
+        inner = offsets[(offsets > 0) & (offsets < len(data))]
+        before[inner], after[inner - 1] = False, False
+        starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
+        n = np.diff(np.searchsorted(starts, offsets))
+        self.lengths = n + 1
+        stop = np.cumsum(self.lengths) - 1
+        self.begin = stop - n
+        self.one = np.empty(len(starts) + len(n), _U)
+        self.one[stop] = _END
+        is_word = np.ones(len(self.one), bool)
+        is_word[stop] = False
+        self.one[is_word] = word_hashes(data, starts, ends)
+        inside = np.ones(len(self.one), bool)
+        inside[self.begin] = False
+        #: Places that end a context, its hash, and the key of what follows it, 0 for nothing.
+        self.at = np.flatnonzero(inside)
+        self.context = pair(self.one[self.at - 1], self.one[self.at])
+        follow = np.zeros(len(self.one), _U)
+        follow[:-1] = np.maximum(self.one[1:] >> _U(64 - NEXT), _U(1))
+        follow[stop] = 0
+        self.follow = follow[self.at]
+
+
+def sorted_places(keys: np.ndarray) -> np.ndarray:
+    """argsort, by sorting keys joined with their places where 64 bits hold both; equal keys stay in order."""
+    n = len(keys)
+    width = max(n - 1, 1).bit_length()
+    if n and int(keys.max()).bit_length() + width <= 64:
+        return (np.sort(keys << _U(width) | np.arange(n, dtype=_U)) & _U((1 << width) - 1)).astype(np.int64)
+    return np.argsort(keys, kind="stable")
+
+
+def firsts(x: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return new
+
+
+class Asked:
+    """The distinct contexts of a chunk in order, its distinct trigrams in their order, and its distinct words."""
+
+    def __init__(self, t: Tokens, bits: int, split: np.ndarray):
+        context, follow, places = t.context, t.follow, t.at
+        self.split = np.zeros(0, np.int64)
+        if len(split):
+            near = np.minimum(np.searchsorted(split, context), len(split) - 1)
+            self.split = np.flatnonzero(split[near] == context)
+            own = context.copy()
+            own[self.split] = pair(context[self.split], follow[self.split])
+            context, follow, places = np.concatenate((own, context[self.split])), np.concatenate((follow, np.zeros(len(self.split), _U))), np.concatenate((places, places[self.split]))
+        key = context >> _U(64 - bits)
+        by = sorted_places(key)
+        rank = np.cumsum(firsts(key[by])) - 1
+        full = rank.astype(_U) << _U(NEXT) | follow[by]
+        again = sorted_places(full)
+        by, full = by[again], full[again]
+        new = firsts(full)
+        #: For each place (those of split contexts once more at the end): its trigram, and its context.
+        self.gram, self.of = np.empty(len(by), np.int64), np.empty(len(by), np.int64)
+        self.gram[by], self.of[by] = np.cumsum(new) - 1, rank
+        self.starts = np.flatnonzero(new)
+        self.by, self.places = by, places[by]
+        head = np.flatnonzero(firsts(rank))
+        self.contexts = key[by[head]]
+        self.follow = (full[self.starts] & _U((1 << NEXT) - 1)).astype(np.uint32)
+        self.sizes = np.diff(np.append(np.searchsorted(self.starts, head), len(self.starts)))
+        by = sorted_places(t.one)
+        new = firsts(t.one[by])
+        self.word_by, self.word_starts = by, np.flatnonzero(new)
+        self.words = t.one[by[self.word_starts]]
+        self.word = np.empty(len(by), np.int64)
+        self.word[by] = np.cumsum(new) - 1
+
+
+def sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x, starts) if len(starts) else np.zeros(0, x.dtype)
+
+
+def small(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the least bytes."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
+
+
+def flat(arrays: list[np.ndarray]) -> bytes:
+    """Unsigned arrays in one buffer, after their item sizes and lengths."""
+    head = np.array([len(arrays), *(y for x in arrays for y in (x.itemsize, len(x)))], np.uint32)
+    return b"".join([head.tobytes(), *(x.tobytes() for x in arrays)])
+
+
+def mapped(buffer: bytes | pa.Buffer) -> list[np.ndarray]:
+    """Views of the arrays of a flat buffer (bytes, Arrow memory or a mapped file); nothing is copied."""
+    head = np.frombuffer(buffer, np.uint32, 1)[0]
+    shape = np.frombuffer(buffer, np.uint32, 2 * int(head), 4).tolist()
+    at, out = 4 + 8 * int(head), []
+    for size, n in zip(shape[::2], shape[1::2], strict=True):
+        out.append(np.frombuffer(buffer, f"u{size}", n, at))
+        at += size * n
+    return out
 
-def counted(train: DataFrame) -> DataFrame:
-    """kind (1 to 3 words), x, y, c: hashes of words (y is 0), pairs of words, pairs of bigrams, and their counts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _Memory()
-        held: list[Tokens] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for kind in (1, 2, 3):
-                if kind == 1:
-                    x, c = np.unique(np.concatenate([t.one for t in held]), return_counts=True)
-                    y = np.zeros_like(x)
-                else:
-                    at, key, part = {2: ("at2", "two", "one"), 3: ("at3", "three", "two")}[kind]
-                    ends = [(t, getattr(t, at)) for t in held]
-                    _, i, c = np.unique(np.concatenate([getattr(t, key)[e] for t, e in ends]), return_index=True, return_counts=True)
-                    x, y = (np.concatenate([getattr(t, part)[e - back] for t, e in ends])[i] for back in (1, 0))
-                yield pa.record_batch([pa.array(np.full(len(x), kind, np.int8)), _long(x), _long(y), pa.array(c.astype(np.int64))], names=["kind", "x", "y", "c"])
+class EliasFano:
+    """A monotone sequence: low bits in words, high bits as unary gaps."""
 
-        for b in batches:
-            held.append(Tokens(common.raw(b.column("text")), memory))
-            if sum(len(t.one) for t in held) > HELD:
-                yield from out()
-                held = []
-        if held:
-            yield from out()
-
-    parts = train.select("text").mapInArrow(run, "kind byte, x long, y long, c long")
-    return parts.repartition("kind", "x", "y").groupBy("kind", "x", "y").agg(F.sum("c").alias("c"))
-
-
-def _back_off(p: str, lower: str) -> Column:
-    """log10 of what a context leaves, over what the shorter context leaves."""
-    return F.log10(F.greatest((1 - F.sum(p)) / F.greatest(1 - F.sum(lower), F.lit(1e-9)), F.lit(1e-9)))
-
-
-def learn(train: DataFrame) -> tuple[DataFrame, int, int]:
-    """The model as a table (key, kind, v: a word's count or log10 of p, b: log10 of the back-off weight), N and V."""
-    common.bounded_batches(train.sparkSession)
-    counts = common.materialize(counted(train).filter((F.col("kind") == 1) | (F.col("c") >= LEAST)), "counts")
-    words = counts.filter("kind = 1").select(F.col("x").alias("h"), "c")
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = words.filter(F.col("c") * FREQUENT >= total)  # FREQUENT rows at most
-    two = counts.filter("kind = 2").select(F.col("x").alias("u"), F.col("y").alias("v"), "c", F.xxhash64("x", "y").alias("a"))
-    for side in ("u", "v"):
-        # bigrams of a frequent word don't look it up among all words: their own key deals them out
-        two = two.join(F.broadcast(frequent.select(F.col("h").alias(side), F.col("c").alias("often"))), side, "left")
-        two = two.withColumn("h", F.when(F.col("often").isNull(), F.col(side)).otherwise(F.col("a"))).join(words.withColumnRenamed("c", "seldom"), "h", "left")
-        two = two.withColumn(f"c_{side}", F.coalesce("often", "seldom")).drop("h", "often", "seldom")
-    two = common.materialize(two.select("u", "a", "c", ((F.col("c") - DISCOUNT) / F.col("c_u")).alias("p"), ((F.col("c_v") + ADD) / (total + ADD * (distinct + 1))).alias("lower")), "bigrams")
-    three = counts.filter("kind = 3").select(F.col("x").alias("a"), F.col("y").alias("b"), "c")
-    three = three.join(two.select("a", F.col("c").alias("c2")), "a").join(two.select(F.col("a").alias("b"), F.col("p").alias("lower")), "b")
-    three = common.materialize(three.select("a", "b", ((F.col("c") - DISCOUNT) / F.col("c2")).alias("p"), "lower"), "trigrams")
-    b = F.coalesce("b", F.lit(0.0)).alias("b")
-
-    def level(df: DataFrame, key: Column, kind: int, v: Column, b: Column) -> DataFrame:
-        return df.select(key.alias("key"), F.lit(kind).cast("byte").alias("kind"), v.cast("double").alias("v"), b.alias("b"))
-
-    first = level(words.join(two.groupBy(F.col("u").alias("h")).agg(_back_off("p", "lower").alias("b")), "h", "left"), F.col("h"), 1, F.col("c"), b)
-    second = level(two.join(three.groupBy("a").agg(_back_off("p", "lower").alias("b")), "a", "left"), F.col("a"), 2, F.log10("p"), b)
-    third = level(three, F.xxhash64("a", "b"), 3, F.log10("p"), F.lit(0.0))
-    return common.materialize(first.unionAll(second).unionAll(third), "levels"), total, distinct
-
-
-def _requests(rows: DataFrame) -> DataFrame:
-    """chunk, key: every key of a chunk's n-grams."""
+    def __init__(self, low: np.ndarray, high: np.ndarray, head: np.ndarray):
+        self.low, self.high, (self.n, self.bits) = low, high, head.tolist()
+
+    @staticmethod
+    def pack(values: np.ndarray) -> list[np.ndarray]:
+        v = values.astype(_U, copy=False)
+        n = len(v)
+        bits = max(0, ((int(v[-1]) + 1) // n).bit_length() - 1) if n else 0
+        low = np.zeros(n * bits // 64 + 2 if bits else 0, _U)
+        if bits and n:
+            part, at = v & _U((1 << bits) - 1), np.arange(n, dtype=np.int64) * bits
+            word, shift = at >> 6, (at & 63).astype(_U)
+            first = np.flatnonzero(firsts(word))
+            low[word[first]] = np.bitwise_or.reduceat(part << shift, first)
+            over = np.flatnonzero(shift > _U(64 - bits))
+            low[word[over] + 1] |= part[over] >> (_U(64) - shift[over])
+        place = (v >> _U(bits)).astype(np.int64) + np.arange(n)
+        high = np.zeros(int(place[-1]) // 64 + 1 if n else 0, _U)
+        if n:
+            word = place >> 6
+            first = np.flatnonzero(firsts(word))
+            high[word[first]] = np.bitwise_or.reduceat(_U(1) << (place & 63).astype(_U), first)
+        return [low, high, np.array([n, bits], _U)]
+
+    def values(self) -> np.ndarray:
+        """The sequence, from its first to its last value."""
+        ones = np.flatnonzero(np.unpackbits(self.high.astype("<u8").view(np.uint8), bitorder="little"))
+        out = (ones - np.arange(self.n)).astype(_U) << _U(self.bits)
+        if self.bits and self.n:
+            at = np.arange(self.n, dtype=np.int64) * self.bits
+            word, shift = at >> 6, (at & 63).astype(_U)
+            part = self.low[word] >> shift
+            over = np.flatnonzero(shift > _U(64 - self.bits))
+            part[over] |= self.low[word[over] + 1] << (_U(64) - shift[over])
+            out |= part & _U((1 << self.bits) - 1)
+        return out
+
+
+def code(p: np.ndarray) -> np.ndarray:
+    """log10 of probabilities in 16 bits."""
+    return np.minimum(np.rint(-STEPS * np.log10(p)), ABSENT - 1).astype(np.uint16)
+
+
+class Trie:
+    """A shard's contexts, pointers, successors and codes, over one flat buffer."""
+
+    def __init__(self, buffer: bytes | pa.Buffer):
+        x = mapped(buffer)
+        contexts, pointers, successors = (EliasFano(*x[k : k + 3]).values() for k in (0, 3, 6))
+        self.contexts, self.pointers, self.successors = contexts, pointers.astype(np.int64), successors
+        self.beta, self.alpha = x[9], x[10]
+
+    @staticmethod
+    def pack(contexts: np.ndarray, follow: np.ndarray, count: np.ndarray) -> bytes:
+        """From contexts and successors in any order, with counts; those that are never there have no node."""
+        seen = count > 0
+        contexts, follow, count = contexts[seen], follow[seen], count[seen]
+        by = sorted_places(contexts)
+        rank = np.cumsum(firsts(contexts[by])) - 1
+        full = rank.astype(_U) << _U(NEXT) | follow[by].astype(_U)
+        again = sorted_places(full)
+        full, count = full[again], count[by][again]
+        starts = np.flatnonzero(firsts(full))
+        full, count = full[starts], sums(count, starts)
+        head = np.flatnonzero(firsts(full >> _U(NEXT)))
+        total = sums(count, head)
+        per_gram = np.repeat(total, np.diff(np.append(head, len(full))))
+        keys = contexts[by][np.flatnonzero(firsts(rank))] if len(rank) else contexts
+        return flat([*EliasFano.pack(keys), *EliasFano.pack(np.append(head, len(full))), *EliasFano.pack(full), code(M3 / (total + M3)), code(count / (per_gram + M3))])
+
+    def find(self, contexts: np.ndarray, sizes: np.ndarray, follow: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of beta for contexts (0 for one that isn't there), and of alpha for the successors, `sizes` of each context."""
+        at = np.searchsorted(self.contexts, contexts)
+        at[at == len(self.contexts)] = 0
+        there = self.contexts[at] == contexts if len(self.contexts) else np.zeros(len(contexts), bool)
+        beta = np.zeros(len(contexts), np.uint16)
+        beta[there] = self.beta[at[there]]
+        alpha = np.full(len(follow), ABSENT, np.uint16)
+        rank = np.repeat(np.where(there, at, -1), sizes)
+        ask = np.flatnonzero(rank >= 0)
+        rank = rank[ask]
+        want = rank.astype(_U) << _U(NEXT) | follow[ask].astype(_U)
+        place = np.searchsorted(self.successors, want)
+        hit = place < self.pointers[rank + 1]
+        hit[hit] = self.successors[place[hit]] == want[hit]
+        alpha[ask[hit]] = self.alpha[place[hit]]
+        return beta, alpha
+
+
+def _bytes_of(x: np.ndarray) -> list[np.ndarray]:
+    """16-bit numbers as two arrays of bytes, which compress better."""
+    return [(x >> 8).astype(np.uint8), (x & 0xFF).astype(np.uint8)]
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """(number, rows) of runs of a partition's rows, the same whatever the batches."""
+    held: list[pa.RecordBatch] = []
+    size = rows = number = 0
+
+    def out() -> tuple[int, pa.Table]:
+        part = held[0].column("part")[0].as_py()
+        return part << 33 | number, pa.Table.from_batches(held)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ends = np.cumsum(pc.binary_length(b.column("text").cast(pa.binary())).to_numpy(zero_copy_only=False))
+        i, done = 0, 0
+        while i < b.num_rows:
+            # a chunk ends with the row that fills it
+            j = min(int(np.searchsorted(ends, done + CHUNK_BYTES - size)) + 1, i + CHUNK_ROWS - rows, b.num_rows)
+            held.append(b.slice(i, j - i))
+            size, rows, done, i = size + int(ends[j - 1]) - done, rows + j - i, int(ends[j - 1]), j
+            if size >= CHUNK_BYTES or rows == CHUNK_ROWS:
+                yield out()
+                held, size, rows, number = [], 0, 0, number + 1
+    if held:
+        yield out()
+
+
+def joined(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts, and the offset of each and the end."""
+    x = texts.cast(pa.large_binary()).combine_chunks()
+    x = x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
+    offsets = np.frombuffer(x.buffers()[1], np.int64)[x.offset : x.offset + len(x) + 1]
+    data = np.frombuffer(x.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return data, offsets - offsets[0]
+
+
+def _cut(keys: np.ndarray, shift: int, shards: int) -> Iterator[tuple[int, int, int]]:
+    """(shard, begin, end) of sorted keys by what is above `shift` bits."""
+    of = (keys >> _U(shift)).astype(np.int64) if shards > 1 else np.zeros(len(keys), np.int64)
+    begin = np.flatnonzero(firsts(of))
+    return zip(of[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(keys)], strict=True)
+
+
+def split_contexts(docs: DataFrame, rows: int) -> np.ndarray:
+    """Contexts with a share of 1/SPLIT of a sample's bigrams: SPLIT at most, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _Memory()
         for b in batches:
-            chunk = b.column("row").to_numpy(zero_copy_only=False) >> CHUNK
-            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                if i < j:
-                    t = Tokens(common.raw(b.column("text").slice(i, j - i)), memory)
-                    keys = np.unique(np.concatenate((t.one, t.two[t.at2], t.three[t.at3])))
-                    yield pa.record_batch([pa.array(np.full(len(keys), chunk[i])), _long(keys)], names=["chunk", "key"])
-
-    return rows.select("row", "text").mapInArrow(run, "chunk long, key long")
-
-
-def _keys(t: pa.Table) -> np.ndarray:
-    return t.column("key").to_numpy().view(np.uint64)
-
-
-def _answer(asked: pa.Table, shard: pa.Table) -> pa.Table:
-    """chunk, key, kind, v, b of the asked n-grams that a shard has."""
-    want, chunk, keys, kind = _keys(asked), asked.column("chunk").to_numpy(), _keys(shard), shard.column("kind").to_numpy()
-    v, b = shard.column("v").to_numpy(), shard.column("b").to_numpy()
-    of = np.flatnonzero(kind == 1)
-    of = of[np.argsort(keys[of])]
-    at, hit = _search(keys[of], want)
-    found = [(hit, np.full(len(hit), 1, np.int8), v[of][at], b[of][at])]  # counts of words are exact
-    for k in (2, 3):
-        of = np.flatnonzero(kind == k)
-        if len(of):
-            hit, p, bow = Level(keys[of], v[of], b[of]).find(want)
-            found.append((hit, np.full(len(hit), k, np.int8), p, bow))
-    hit, k, p, bow = (np.concatenate(x) for x in zip(*found, strict=True))
-    return pa.table({"chunk": chunk[hit], "key": _long(want[hit]), "kind": k, "v": p, "b": bow})
-
-
-def score(docs: DataFrame, model: tuple[DataFrame, int, int], *keep: Column) -> DataFrame:
-    """doc_id, the columns of `keep`, n_tokens, n_known, train_tokens, base_score, score of every row."""
+            x = np.sort(Tokens(*joined(pa.chunked_array([b.column("text")]))).context)
+            starts = np.flatnonzero(firsts(x))
+            n = np.diff(np.append(starts, len(x)))
+            much = n * 2 * SPLIT >= len(x)
+            yield pa.record_batch([pa.array(np.append(x[starts[much]].view(np.int64), 0)), pa.array(np.append(n[much], len(x))), pa.array([False] * int(much.sum()) + [True])], names=["x", "n", "all"])
+
+    sample = docs.select("text").sample(min(1.0, SAMPLE_ROWS / max(rows, 1)), 1).mapInArrow(run, "x long, n long, all boolean")
+    found = sample.groupBy("all", "x").agg(F.sum("n").alias("n"))
+    total = found.filter("all").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return np.sort(np.array([r["x"] for r in found.filter((~F.col("all")) & (F.col("n") * SPLIT >= total)).collect()], np.int64).view(_U))
+
+
+def _answers(docs: DataFrame, bits: int, shard_bits: int, split: np.ndarray) -> DataFrame:
+    """kind (0: words, 1: trigrams, 2: a shard's totals), shard, chunk, x: the answers; tokens and distinct, of totals alone."""
+    shards = 1 << shard_bits
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, t in chunks(batches):
+            tokens = Tokens(*joined(t.column("text")))
+            a = Asked(tokens, bits, split)
+            learn = np.repeat(t.column("train").to_numpy(), tokens.lengths).astype(np.int64)
+            count, word_count = sums(learn[a.places], a.starts), sums(learn[a.word_by], a.word_starts)
+            grams = np.concatenate(([0], np.cumsum(a.sizes)))
+            kind, shard, x = [], [], []
+            for s, i, j in _cut(a.contexts, bits - shard_bits, shards):
+                g = slice(grams[i], grams[j])
+                three = a.follow[g].astype("<u4").view(np.uint8).reshape(-1, 4)[:, : NEXT // 8].ravel()
+                x.append(flat([*EliasFano.pack(a.contexts[i:j] & _U((1 << REST) - 1)), small(a.sizes[i:j]), three, small(count[g])]))
+                kind.append(1)
+                shard.append(s)
+            for s, i, j in _cut(a.words, 64 - shard_bits, shards):
+                x.append(flat([*EliasFano.pack(a.words[i:j] & _U((1 << 64 - shard_bits) - 1)), small(word_count[i:j])]))
+                kind.append(0)
+                shard.append(s)
+            yield pa.record_batch([pa.array(kind, pa.int8()), pa.array(shard, pa.int64()), pa.array(np.full(len(x), number)), pa.array(x, pa.binary())], names=["kind", "shard", "chunk", "x"])
+
+    def answer(t: pa.Table) -> pa.Table:
+        kind, chunk, blocks = t.column("kind").to_numpy(), t.column("chunk").to_numpy(), [x for c in t.column("x").chunks for x in c]
+        blocks = [mapped(x.as_buffer()) for x in blocks]
+        of, out = [], []
+        grams = []
+        for k in np.flatnonzero(kind == 1):
+            b = blocks[k]
+            follow = np.zeros((len(b[4]) * 8 // NEXT, 4), np.uint8)
+            follow[:, : NEXT // 8] = b[4].reshape(-1, NEXT // 8)
+            grams.append((k, EliasFano(*b[:3]).values(), b[3].astype(np.int64), follow.view("<u4").ravel(), b[5].astype(np.int64)))
+        if grams:
+            trie = Trie(Trie.pack(np.concatenate([np.repeat(c, n) for _, c, n, _, _ in grams]), np.concatenate([g[3] for g in grams]), np.concatenate([g[4] for g in grams])))
+            for k, contexts, sizes, follow, _ in grams:
+                beta, alpha = trie.find(contexts, sizes, follow)
+                of.append(k)
+                out.append(flat([*_bytes_of(beta), *_bytes_of(alpha)]))
+        words = [(k, EliasFano(*blocks[k][:3]).values(), blocks[k][3].astype(np.int64)) for k in np.flatnonzero(kind == 0)]
+        known, total = np.zeros(0, _U), np.zeros(0, np.int64)
+        if words:
+            all_words, counts = np.concatenate([w for _, w, _ in words]), np.concatenate([c for _, _, c in words])
+            by = np.argsort(all_words, kind="stable")
+            starts = np.flatnonzero(firsts(all_words[by]))
+            known, total = all_words[by[starts]], sums(counts[by], starts)
+            for k, w, _ in words:
+                of.append(k)
+                out.append(flat([small(total[np.searchsorted(known, w)])]))
+        own = t.column("shard")[0].as_py()
+        n = len(of)
+        return pa.table({"kind": pa.array([*kind[of].tolist(), 2], pa.int8()), "shard": pa.array([own] * (n + 1), pa.int64()), "chunk": pa.array([*chunk[of].tolist(), -1], pa.int64()), "x": pa.array([*out, b""], pa.binary()), "tokens": pa.array([None] * n + [int(total.sum())], pa.int64()), "distinct": pa.array([None] * n + [int((total > 0).sum())], pa.int64())})
+
+    asked = docs.select("part", "text", "train").mapInArrow(ask, "kind byte, shard long, chunk long, x binary")
+    return asked.repartition(shards, "shard").groupBy("shard").applyInArrow(answer, "kind byte, shard long, chunk long, x binary, tokens long, distinct long")
+
+
+def score(docs: DataFrame, train: Column, *keep: Column) -> DataFrame:
+    """doc_id, the columns of `keep`, n_tokens, n_known, train_tokens, base_score, score of every row, learnt from those in `train`."""
     common.bounded_batches(docs.sparkSession)
-    levels, total, distinct = model
-    # written, so that a row keeps its number; its own columns travel with it
-    rows = common.materialize(docs.select(F.monotonically_increasing_id().alias("row"), "text", F.struct(F.col("doc_id"), *keep).alias("own")), "rows")
-    own_type = rows.schema["own"].dataType
-    shards = 1 + max(rows.count() >> SHARD_ROWS, levels.count() >> SHARD_GRAMS)
-    norm = float(np.log10(max(total + ADD * (distinct + 1), ADD)))
-
-    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
-        t = Tokens(common.raw(texts.column("text")), _Memory())
+    docs = docs.select(F.spark_partition_id().alias("part"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"), F.struct(F.col("doc_id"), *keep).alias("own"))
+    size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    shard_bits = (size >> SHARD).bit_length()
+    bits, split = REST + shard_bits, split_contexts(docs, rows)
+    answers = common.materialize(_answers(docs, bits, shard_bits, split), "answers")
+    total, distinct = answers.filter("kind = 2").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    norm = max(total + ADD * (distinct + 1), ADD)
+    own_type = docs.schema["own"].dataType
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, t in chunks(batches):
+            data, offsets = joined(t.column("text"))
+            own = t.column("own").combine_chunks()
+            own = own.chunk(0) if isinstance(own, pa.ChunkedArray) else own
+            yield pa.record_batch([pa.array([number]), pa.array([len(data)]), pa.array([pa.Codec("zstd", 1).compress(data.tobytes(), asbytes=True)], pa.binary()), pa.array([offsets.tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)], names=["chunk", "size", "texts", "offsets", "own"])
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        row = texts.slice(0, 1)
+        data = pa.Codec("zstd").decompress(row.column("texts")[0].as_buffer(), row.column("size")[0].as_py(), asbytes=True)
+        t = Tokens(np.frombuffer(data, np.uint8), np.frombuffer(row.column("offsets")[0].as_py(), np.int64))
+        a = Asked(t, bits, split)
+        found = found.sort_by([("kind", "ascending"), ("shard", "ascending")])
+        blocks = [mapped(x.as_buffer()) for c in found.column("x").chunks for x in c]
+        kind = found.column("kind").to_numpy()
+        known = np.concatenate([b[0].astype(np.int64) for b, k in zip(blocks, kind, strict=True) if k == 0])
         n = len(t.one)
-        keys = _keys(known)
-        by = np.argsort(keys)
-        keys, kind, v, b = keys[by], *(known.column(c).to_numpy()[by] for c in ("kind", "v", "b"))
-
-        def look(k: int, places: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            of = kind == k
-            at, hit = _search(keys[of], want[places])
-            return places[hit], v[of][at], b[of][at]
-
-        count, bow1, bow2 = np.zeros(n), np.zeros(n), np.zeros(n)
-        at, count_, b_ = look(1, np.arange(n), t.one)
-        count[at], bow1[at] = count_, b_
-        own = np.log10(count + ADD) - norm
-        s = own.copy()
-        s[t.at2] += bow1[t.at2 - 1]
-        at, p, b_ = look(2, t.at2, t.two)
-        s[at], bow2[at] = p, b_
-        s[t.at3] += bow2[t.at3 - 1]
-        at, p, _ = look(3, t.at3, t.three)
-        s[at] = p
-        sums = [np.add.reduceat(x, t.begin) if n else x for x in ((count > 0).astype(np.int64), own, s)]
-        return pa.table({"own": texts.column("own"), "n_tokens": t.lengths, "n_known": sums[0], "base_score": sums[1], "score": sums[2]})
-
-    shard = F.pmod("key", F.lit(shards)).alias("shard")
-    answers = _requests(rows).groupBy(shard).cogroup(levels.groupBy(shard)).applyInArrow(_answer, "chunk long, key long, kind byte, v double, b double")
+        count = known[a.word].astype(np.float64)
+        p1 = (count + ADD) / norm
+        p = p1.copy()
+        if len(t.at):
+            codes = [np.concatenate([b[i] for b, k in zip(blocks, kind, strict=True) if k == 1]).astype(np.uint16) for i in range(4)]
+            beta_code, alpha_code = codes[0] << 8 | codes[1], codes[2] << 8 | codes[3]
+            beta_of = 10.0 ** (-np.arange(ABSENT + 1) / STEPS)
+            alpha_of = beta_of.copy()
+            alpha_of[ABSENT] = 0
+            m = len(t.at)
+            alpha, beta = np.zeros(n), np.ones(n)
+            alpha[t.at], beta[t.at] = alpha_of[alpha_code[a.gram[:m]]], beta_of[beta_code[a.of[:m]]]
+            if len(a.split):
+                # the context's own entry has beta; its trigram, a context too, has the count in its beta
+                at = t.at[a.split]
+                c3 = M3 / beta[at] - M3
+                beta[at] = beta_of[beta_code[a.of[m:]]]
+                alpha[at] = c3 * beta[at] / M3
+            c2 = M3 / beta[t.at] - M3
+            p[t.at] = (c2 + M2 * p1[t.at]) / (count[t.at - 1] + M2)
+            third = np.ones(n, bool)
+            third[t.begin] = False
+            third[np.minimum(t.begin + 1, n - 1)] = False
+            third = np.flatnonzero(third)
+            p[third] = alpha[third - 1] + beta[third - 1] * p[third]
+        sums_ = [np.add.reduceat(x, t.begin) for x in ((count > 0).astype(np.int64), np.log10(p1), np.log10(p))]
+        own = row.column("own").combine_chunks()
+        own = (own.chunk(0) if isinstance(own, pa.ChunkedArray) else own).flatten()
+        return pa.table({"own": own, "n_tokens": t.lengths, "n_known": sums_[0], "base_score": sums_[1], "score": np.minimum(sums_[2], 0.0)})
+
+    texts = docs.select("part", "text", "own").mapInArrow(packed, T.StructType([T.StructField("chunk", T.LongType()), T.StructField("size", T.LongType()), T.StructField("texts", T.BinaryType()), T.StructField("offsets", T.BinaryType()), T.StructField("own", T.ArrayType(own_type))]))
     schema = T.StructType([T.StructField("own", own_type), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    out = rows.groupBy(F.shiftright("row", CHUNK).alias("chunk")).cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+    out = texts.groupBy("chunk").cogroup(answers.filter("kind < 2").select("kind", "shard", "chunk", "x").groupBy("chunk")).applyInArrow(run, schema)
     return out.select(*(F.col("own")[f.name].alias(f.name) for f in own_type.fields), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = learn(docs.filter(common.fold("doc_id", 10) != 0))
-    return score(docs, model, F.coalesce(common.fold("doc_id", 10) == 0, F.lit(False)).alias("held_out"))
+    return score(docs, common.fold("doc_id", 10) != 0, F.coalesce(common.fold("doc_id", 10) == 0, F.lit(False)).alias("held_out"))
