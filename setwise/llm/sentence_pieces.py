@@ -5,18 +5,21 @@ has the highest score merge first, the leftmost of equal ones. Characters withou
 are those of the model's own library; decoding restores every text that has no mark character (U+2581) of its own,
 which stands for a space, as in the library.
 
-No piece goes on past a mark that follows another character, so the units between such cuts are independent, and short
-units' answers are remembered. That settles documents of up to CHUNK characters.
+The library itself encodes documents of up to CHUNK characters. No piece goes on past a mark that follows another
+character, so what lies between such cuts is independent.
 
 Longer documents are split into chunks, rows of their own, so that many tasks share a giant. A sequence of pieces is
 the answer for a text just when each adjacent pair is the answer for its own two pieces; so an answer is a path of
 weight 0 where pairs that aren't weigh minus infinity. A state at a boundary tells where the last piece that ended
 at or before it ended, and how long it was (0 at a cut, where nothing before counts). Every chunk yields the matrix of
-best weights from the states at its start to those at its end. Under (max, +) these combine associatively from both
-ends of the text: the one state of weight 0 at each boundary is the path's. Last, each chunk is traced back alone.
-
-Null and empty texts have no pieces. Rows with the same doc_id are each encoded alone. The vocabulary is a file that
-each executor has at the given path.
+best weights from the states at its start to those at its end. Under (max, +) these combine associatively: tasks multiply
+the matrices of BLOCK chunks, a prefix scan over a document's blocks and then over the chunks of each block gives the
+products from either end of the text, and the one state of weight 0 at each boundary is the path's. Last, each chunk is
+traced back alone, near its ends: what lies between its outermost cuts the library encodes.
+
+Null and empty texts have no pieces, and a null doc_id is kept. Rows with the same doc_id are each encoded alone. Equal
+scores merge from the left. Columns other than doc_id and text play no part. The vocabulary is a file that each executor
+has at the given path.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,29 +38,15 @@ from pyspark.sql import functions as F
 from setwise.llm import common
 
 CHUNK = 1 << 15
-REMEMBERED, REMEMBERED_CHARS = 300_000, 64
+#: Chunks whose matrices one task multiplies.
+BLOCK = 64
+#: Pairs of pieces that a worker remembers.
+REMEMBERED = 300_000
 MARK = "▁"
-_UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _CUT = re.compile(f"[^{MARK}](?={MARK})")
 _NONE = -np.inf
 
 
-class _Units(dict):
-    """Unit to ids, bounded: emptied when full; known units cost no Python call."""
-
-    def __init__(self, v: Vocabulary):
-        super().__init__()
-        self.v = v
-
-    def __missing__(self, unit: str) -> bytes:
-        found = np.array([i for p in self.v.merged(unit) for i in self.v.spell(p)], np.int32).tobytes()
-        if len(unit) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[unit] = found
-        return found
-
-
 class Vocabulary:
     def __init__(self, path: str):
         import sentencepiece
@@ -74,11 +64,11 @@ class Vocabulary:
             self.text[i] = bytes([b])
         if any(_CUT.search(p) for p in self.score):
             raise ValueError("a piece goes on past a mark after another character: units would not be independent")
-        self.unit = _Units(self).__getitem__  # ids of a unit, as the bytes of int32
+        self.library = sp
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def merged(self, s: str) -> list[str]:
-        """The pieces of a string by merging on a heap and a linked list."""
+        """The pieces of a string by merging, on a heap and a linked list."""
         n, score = len(s), self.score
         sym: list[str | None] = list(s)
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -116,16 +106,20 @@ class Vocabulary:
             self.pairs[a, b] = found
         return found
 
-    def encode_units(self, text: str) -> bytes:
-        return b"".join(map(self.unit, _UNITS.findall(text)))
-
-    def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.encode_units(normal(text)), np.int32)
+    def encode(self, text: str) -> list[int]:
+        """The library's ids of a text, which it puts a mark in front of."""
+        return self.library.encode(text)
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.text.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
 
+@lru_cache(maxsize=4)
+def vocabulary(path: str) -> Vocabulary:
+    """One for all tasks of a worker process, with what it remembers."""
+    return Vocabulary(path)
+
+
 def normal(text: str) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
@@ -206,7 +200,8 @@ class Chunk:
         if self.first is None:
             return np.array(self._path(a, b), np.int32).tobytes()
         head, tail = (np.array(x, np.int32).tobytes() for x in (self._path(a, (self.first, 0)), self._path((self.last, 0), b)))
-        return head + self.v.encode_units(self.text[self.first : self.last]) + tail
+        within = self.text[self.first : self.last]  # starts with a mark, or is empty
+        return head + np.array(self.v.encode(within[1:].replace(MARK, " ")) if within else [], np.int32).tobytes() + tail
 
 
 def chunks(text: str, size: int, context: int) -> list[tuple[str, str, str]]:
@@ -214,16 +209,36 @@ def chunks(text: str, size: int, context: int) -> list[tuple[str, str, str]]:
     return [(text[max(0, i - context) : i], text[i : i + size], text[i + size : i + size + 1]) for i in range(0, len(text), size)]
 
 
-def boundaries(matrices: list[np.ndarray], last: np.ndarray) -> list[int]:
-    """The number of the path's state at each chunk's start and at the end; last: weights of the states at the end."""
-    weights = [np.where(m > 0, 0.0, _NONE) for m in matrices]
-    forward = [np.where(np.arange(len(weights[0])) == 0, 0.0, _NONE)]
-    for m in weights:
-        forward.append((forward[-1][:, None] + m).max(0))
-    backward = [last]
-    for m in reversed(weights):
-        backward.append((m + backward[-1][None, :]).max(1))
-    return [int((f + b).argmax()) for f, b in zip(forward, reversed(backward), strict=True)]
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The product under (max, +) of matrices that have 1 for the weight 0, and 0 for minus infinity."""
+    return (a.astype(np.float32) @ b.astype(np.float32) > 0).astype(np.uint8)
+
+
+def prefixes(matrices: list[np.ndarray]) -> list[np.ndarray]:
+    """Products of the first 1, 2, ... matrices, combined in pairs as a tree."""
+    if len(matrices) < 2:
+        return matrices
+    pairs = prefixes([times(a, b) for a, b in zip(matrices[::2], matrices[1::2], strict=False)])
+    return [matrices[0], *(pairs[k // 2] if k % 2 else times(pairs[k // 2 - 1], matrices[k]) for k in range(1, len(matrices)))]
+
+
+def boundaries(matrices: list[np.ndarray], first: np.ndarray, last: np.ndarray) -> list[int]:
+    """The number of the path's state at each matrix's start and at the end, from weights of the states at both ends."""
+    forward = [first, *(times(first[None], m)[0] for m in prefixes(matrices))]
+    backward = [last, *(times(last[None], m)[0] for m in prefixes([m.T for m in reversed(matrices)]))]
+    return [int((f & b).argmax()) for f, b in zip(forward, reversed(backward), strict=True)]
+
+
+def _one(at: int, n: int) -> np.ndarray:
+    return (np.arange(n) == at).astype(np.uint8)
+
+
+def _packed(m: np.ndarray) -> tuple[bytes, int, int]:
+    return np.packbits(m).tobytes(), *m.shape
+
+
+def _matrices(pdf: pd.DataFrame) -> list[np.ndarray]:
+    return [np.unpackbits(np.frombuffer(m, np.uint8), count=h * w).reshape(h, w) for m, h, w in zip(pdf["m"], pdf["high"], pdf["wide"], strict=True)]
 
 
 def encode(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
@@ -242,43 +257,55 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
         return pa.record_batch([keys, pa.array(n, pa.int64()), lists, pa.array(same, pa.bool_())], names=names)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(model)
+        v = vocabulary(model)
         for b in batches:
             texts = [x or "" for x in b.column("text").to_pylist()]
-            ids = [v.encode(x) for x in texts]
-            yield finish(b.column("doc_id"), ids, [v.decode(i) == x for i, x in zip(ids, texts, strict=True)])
+            ids = v.library.encode(texts)
+            same = [x == y for x, y in zip(v.library.decode(ids), texts, strict=True)]
+            yield finish(b.column("doc_id"), [np.array(x, np.int32) for x in ids], same)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(model)
+        v = vocabulary(model)
         for b in batches:
             for key, row, text in zip(b.column("doc_id"), b.column("row").to_pylist(), b.column("text").to_pylist(), strict=True):
                 parts = chunks(normal(text), chunk, 2 * v.longest)
                 yield pa.record_batch([pa.array([key.as_py()] * len(parts), key.type), pa.array([row] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), *(pa.array(x) for x in zip(*parts, strict=True))], names=["doc_id", "row", "k", "before", "own", "after"])
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(model)
+        v = vocabulary(model)
         for b in batches:
             made = []
             for r in b.select(["before", "own", "after"]).to_pylist():
                 c = Chunk(v, **r)
-                m = c.matrix()
-                made.append((m.tobytes(), m.shape[1], sum(1 for e, _ in c.states(c.end) if e == c.end)))
-            yield pa.record_batch([b.column("row"), b.column("k"), *(pa.array(x, t) for x, t in zip(zip(*made, strict=True) if made else ([], [], []), (pa.binary(), pa.int32(), pa.int32()), strict=True))], names=["row", "k", "m", "wide", "ends"])
+                made.append((*_packed(c.matrix()), sum(1 for e, _ in c.states(c.end) if e == c.end)))
+            columns = zip(*made, strict=True) if made else ([], [], [], [])
+            yield pa.record_batch([b.column("row"), b.column("k"), *(pa.array(x, t) for x, t in zip(columns, (pa.binary(), pa.int32(), pa.int32(), pa.int32()), strict=True))], names=["row", "k", "m", "high", "wide", "ends"])
+
+    def multiplied(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        m, high, wide = _packed(prefixes(_matrices(pdf))[-1])
+        return pd.DataFrame({"row": pdf["row"].iloc[:1], "block": pdf["block"].iloc[:1], "m": [m], "high": high, "wide": wide, "ends": pdf["ends"].iloc[-1]})
+
+    def crossed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        ms = _matrices(pdf)
+        at = boundaries(ms, _one(0, len(ms[0])), (np.arange(pdf["wide"].iloc[-1]) < pdf["ends"].iloc[-1]).astype(np.uint8))
+        return pd.DataFrame({"row": pdf["row"], "block": pdf["block"], "first": at[:-1], "last": at[1:]})
 
     def combined(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
-        ms = [np.frombuffer(m, np.uint8).reshape(-1, w) for m, w in zip(pdf["m"], pdf["wide"], strict=True)]
-        at = boundaries(ms, np.where(np.arange(pdf["wide"].iloc[-1]) < pdf["ends"].iloc[-1], 0.0, _NONE))
+        ms = _matrices(pdf)
+        at = boundaries(ms, _one(pdf["first"].iloc[0], len(ms[0])), _one(pdf["last"].iloc[0], pdf["wide"].iloc[-1]))
         return pd.DataFrame({"row": pdf["row"], "k": pdf["k"], "start": at[:-1], "leave": at[1:]})
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(model)
+        v = vocabulary(model)
         for b in batches:
             ids = [Chunk(v, r["before"], r["own"], r["after"]).trace(r["start"], r["leave"]) for r in b.to_pylist()]
             yield pa.record_batch([b.column("doc_id"), b.column("row"), b.column("k"), b.column("own"), pa.array(ids, pa.binary())], names=["doc_id", "row", "k", "own", "x"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(model)
+        v = vocabulary(model)
         for t in common.groups(batches, ["row"]):
             ids = np.frombuffer(b"".join(t["x"].to_pylist()), np.int32)
             own = "".join(t["own"].to_pylist())
@@ -288,7 +315,11 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
     short = docs.filter(~long).mapInArrow(whole, schema)
     giants = docs.filter(long).withColumn("row", F.monotonically_increasing_id())
     parts = common.materialize(giants.mapInArrow(split, f"doc_id {kind}, row long, k int, before string, own string, after string").repartition("row", "k"), "chunks")
-    ends = parts.mapInArrow(matrices, "row long, k int, m binary, wide int, ends int").groupBy("row").applyInPandas(combined, "row long, k int, start int, leave int")
+    made = parts.mapInArrow(matrices, "row long, k int, m binary, high int, wide int, ends int").withColumn("block", F.expr(f"k div {BLOCK}").cast("int"))
+    made = common.materialize(made, "matrices")
+    blocks = made.groupBy("row", "block").applyInPandas(multiplied, "row long, block int, m binary, high int, wide int, ends int")
+    crossings = blocks.groupBy("row").applyInPandas(crossed, "row long, block int, first int, last int")
+    ends = made.join(crossings, ["row", "block"]).groupBy("row", "block").applyInPandas(combined, "row long, k int, start int, leave int")
     done = parts.join(ends, ["row", "k"]).mapInArrow(traced, f"doc_id {kind}, row long, k int, own string, x binary")
     rows = done.repartition("row").sortWithinPartitions("row", "k")
     return short.unionAll(rows.mapInArrow(gather, schema))
@@ -299,7 +330,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(model)
+        v = vocabulary(model)
         for b in batches:
             texts = [None if x is None else v.decode(np.array(x, np.int32)) for x in b.column("ids").to_pylist()]
             yield pa.record_batch([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
