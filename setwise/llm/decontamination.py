@@ -30,6 +30,7 @@ ITEMS = 2
 #: Bytes of windows in one automaton: about 60 times as many bytes of nodes at the very most.
 BLOCK_BYTES = 2 << 20
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_RUN = pa.struct([("a", pa.int32()), ("b", pa.int32())])
 
 _built: dict[int, tuple[list, ahocorasick.Automaton]] = {}
 
@@ -117,7 +118,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, limit: int = BL
     parts = blocks(spark, benchmark, n, limit)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, row long, n_words long, runs array<struct<a:int,b:int>>, items array<string>, spans array<struct<start:int,stop:int>>"
-    both = pa.struct([("a", pa.int32()), ("b", pa.int32())])
+    both = _RUN
     ends = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
 
     def of(block: Broadcast | None):  # noqa: ANN202
@@ -133,6 +134,22 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, limit: int = BL
 
         return run
 
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The runs of all blocks as those of one: what overlaps or meets is one run."""
+        for b in batches:
+            runs, bounds = [], []
+            for x, y in zip(b.column("runs").to_pylist(), b.column("spans").to_pylist(), strict=True):
+                out: list[tuple] = []
+                for r, q in sorted(((u, v) for us, vs in zip(x, y, strict=True) for u, v in zip(us, vs, strict=True)), key=lambda z: (z[0]["a"], z[0]["b"])):
+                    if out and r["a"] <= out[-1][0]["b"]:
+                        out[-1][0]["b"], out[-1][1]["stop"] = max(out[-1][0]["b"], r["b"]), max(out[-1][1]["stop"], q["stop"])
+                    else:
+                        out.append((r, q))
+                runs.append([r for r, _ in out])
+                bounds.append([q for _, q in out])
+            items = [sorted({i for part in x for i in part}) for x in b.column("items").to_pylist()]
+            yield pa.record_batch([b.column("doc_id"), b.column("row"), b.column("n_words"), pa.array(runs, pa.list_(both)), pa.array(items, pa.list_(pa.string())), pa.array(bounds, pa.list_(ends))], names=["doc_id", "row", "n_words", "runs", "items", "spans"])
+
     def covered(runs):  # noqa: ANN001, ANN202
         return F.aggregate(runs, F.lit(0).cast("long"), lambda s, r: s + r["b"] - r["a"])
 
@@ -145,12 +162,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, limit: int = BL
     whole = each[0]
     for e in each[1:]:
         whole = whole.unionAll(e)
-    words_hit = F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("runs")), lambda r: F.sequence(r["a"], r["b"] - 1))))
-    return (
-        whole.groupBy("row")
-        .agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.size(words_hit).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-        .select("doc_id", "n_words", "n_hit", "items", "spans")
-    )
+    all_parts = whole.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *(F.collect_list(c).alias(c) for c in ("runs", "items", "spans")))
+    one = all_parts.mapInArrow(merged, schema)
+    return one.select("doc_id", "n_words", covered(F.col("runs")).alias("n_hit"), "items", "spans")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, limit: int = BLOCK_BYTES, items: int = 1) -> DataFrame:
@@ -160,7 +174,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, limit: int = B
     out = docs
     parts = blocks(spark, benchmark, n, limit)
     if items > 1 and len(parts) > 1:
-        raise ValueError("items of several blocks can't be counted block by block")
+        row = next(x for k in range(len(docs.columns) + 1) if (x := f"row_{k}") not in {c.lower() for c in docs.columns})
+        numbered = common.materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        found = hits(numbered.select(F.col(row).alias("doc_id"), "text"), benchmark, n, limit)
+        return numbered.join(found.filter(F.size("items") >= items).select(F.col("doc_id").alias(row)), row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
     def of(block: Broadcast):  # noqa: ANN202
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
