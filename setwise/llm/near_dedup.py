@@ -16,8 +16,8 @@ Steps, none with all pairs of a group of copies:
 4. Components of confirmed links give component_id, for all documents of the classes.
 
 Texts without words, and nulls, have an empty set, no link, and their own component. A row with a null doc_id is its
-own component with a null id, and is kept. Rows with one doc_id are one node in as many classes as they have sets:
-all carry the id, and the class joined last does not matter, as ids and not rows are linked.
+own component with a null id, and is kept. Rows with one doc_id are one document: what links with one of them is in
+the component of all. Only keep_one() tells them apart, and keeps different texts with one doc_id like other documents.
 """
 
 from __future__ import annotations
@@ -318,8 +318,10 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         every = F.transform(F.sequence(zero, F.col("ns") - 1), lambda i: block(i, F.col("own"), no, yes))
         second = many.withColumn("blocks", F.when(F.col("part") != F.col("largest"), F.concat(every, outside)).otherwise(every))
         links = links.unionAll(confirmed(second))
-    # 4: back to documents
-    done = components(links)
+    # 4: back to documents; a document with several sets links their classes
+    several = linked.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi").select("doc_id")
+    own = linked.join(several, "doc_id").select("doc_id", "digest").distinct().join(classes.select("digest", "rep"), "digest")
+    done = components(links.unionAll(own.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
     named = classes.select("digest", "rep").join(done.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = sigs.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     known = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
@@ -327,14 +329,23 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stand first in their component, with all their columns; repeated rows leave one."""
-    kept = near_components(docs, width, percent).filter("doc_id is not null and doc_id = component_id").select("doc_id").distinct()
-    rest = docs.filter("doc_id is null")
-    same = docs.filter("doc_id is not null").join(kept, docs["doc_id"].cast("long") == kept["doc_id"], "left_semi")
+    """One row of docs for each component, with all its columns: the smallest doc_id; rows without doc_id all stay.
+
+    Rows that share a doc_id are taken by their texts: they come before all others, and equal ones leave one.
+    """
     repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    once = same.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    twice = same.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return once.unionAll(twice).unionAll(rest)
+    key = next(x for k in range(len(docs.columns) + 1) if (x := f"key_{k}") not in {c.lower() for c in docs.columns})
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if repeated.isEmpty():
+        keyed = docs.withColumn(key, F.col("doc_id").cast("long"))
+    else:
+        twice = docs.join(repeated, "doc_id", "left_semi").select(*columns)
+        once = docs.join(repeated, "doc_id", "left_anti").select(*columns)
+        keyed = once.withColumn(key, F.col("doc_id").cast("long")).unionAll(twice.withColumn(key, -F.abs(F.xxhash64("doc_id", F.coalesce("text", F.lit("")))) - 1).dropDuplicates([key]))
+        keyed = common.materialize(keyed, "keyed")
+    kept = near_components(keyed.select(F.col(key).alias("doc_id"), "text"), width, percent).filter("doc_id is not null and doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    same = keyed.filter(F.col(key).isNotNull()).join(kept, key, "left_semi").select(*columns)
+    return same.unionAll(keyed.filter(F.col(key).isNull()).select(*columns))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

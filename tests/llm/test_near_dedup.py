@@ -35,3 +35,13 @@ def test_keep_one(spark) -> None:
     kept = near_dedup.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] is None, r["doc_id"], r["component_id"]) for r in kept.collect()) == [(False, 3, 2), (False, 7, 5), (False, 9, 3), (True, None, 4)]
+
+
+def test_rows_of_one_id(spark) -> None:
+    """An id with two texts links what is close to either; keep_one takes its texts one by one."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    docs = spark.createDataFrame([(5, a), (3, a + " x"), (5, b), (4, b), (5, b), (6, c), (None, a)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_components(docs).collect()}
+    assert got == {5: 3, 3: 3, 4: 3, 6: 6, None: None}
+    kept = [(r["doc_id"], r["text"]) for r in near_dedup.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(5, a), (5, b), (6, c), (None, a)], key=str)
