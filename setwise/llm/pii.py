@@ -44,9 +44,9 @@ KINDS = {
     "phone": r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9A-Za-z.-])[2-9][0-9]{2}(?:-[2-9][0-9]{2}-|\.[2-9][0-9]{2}\.)[0-9]{4}(?![0-9A-Za-z]|[.-][0-9])",
     "ip6": r"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
-    "woman": rf"(?<=(?<!\p{{L}})(?:{WOMAN}) )\p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
-    "man": rf"(?<=(?<!\p{{L}})(?:{MAN}) )\p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
-    "person": rf"(?<=(?<!\p{{L}})(?:{ANYONE}) )\p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
+    "woman": rf"(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{WOMAN}) )\p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
+    "man": rf"(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{MAN}) )\p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
+    "person": rf"(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{ANYONE}) )\p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
 }
 PATTERN = "|".join(f"(?:{x})" for x in KINDS.values())
 #: What every entity has: texts without it are passed on at once.
