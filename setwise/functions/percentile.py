@@ -2,22 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from decimal import Decimal
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Distinct values whose counts the driver bisects at once; beyond it every step is one counted pass.
-LOCAL = 1_000_000
+#: Steps of the bisection that one pass over the counts settles: at most 2**STEPS candidates are compared at once.
+STEPS = 10
 
 
-def bisect(low: int, high: int, less: int, greater: int, below, above) -> int:  # noqa: ANN001
-    """The candidate at which at most `less` values are smaller and at most `greater` larger."""
+def middle(low: int, high: int) -> int:
+    """Half way, rounded towards zero where the ends differ in sign."""
+    both = low + high
+    return both // 2 if low >= 0 or high <= 0 else -(-both // 2) if both < 0 else both // 2
+
+
+def candidates(low: int, high: int, steps: int) -> list[int]:
+    """What the bisection may look at in its next steps, in order."""
+    out, ranges = [], [(low, high)]
+    for _ in range(steps):
+        ranges = [r for a, b in ranges if a < b for m in [middle(a, b)] for r in [(a, m - 1), (m + 1, b)] if out.append(m) is None]
+    return sorted(set(out))
+
+
+def bisect(low: int, high: int, less: int, greater: int, below, above, span: list[int] | None = None) -> int:  # noqa: ANN001
+    """The candidate at which at most `less` values are smaller and at most `greater` larger; span tells what is left."""
     at = low
     while low < high:
-        at = (low + high) // 2 if low >= 0 or high <= 0 else int((low + high) / 2)
+        if span:
+            span[:] = low, high
+        at = middle(low, high)
         if below(at) > less:
             high = at - 1
         elif above(at) > greater:
@@ -27,6 +45,26 @@ def bisect(low: int, high: int, less: int, greater: int, below, above) -> int:
     return at
 
 
+def _ranks(counts: DataFrame, at: list[int]) -> dict[int, tuple[int, int]]:
+    """For each of a few numbers, how many values are smaller and how many larger, in one pass over the counts."""
+    edges = np.array(at, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        below, above = np.zeros(len(edges) + 1, np.int64), np.zeros(len(edges) + 1, np.int64)
+        for b in batches:
+            v, n = b.column("v").to_numpy(), b.column("n").to_numpy()
+            np.add.at(below, np.searchsorted(edges, v, "right"), n)
+            np.add.at(above, np.searchsorted(edges, v, "left"), n)
+        yield pa.record_batch([pa.array(range(len(edges) + 1), pa.int32()), pa.array(below), pa.array(above)], names=["k", "below", "above"])
+
+    rows = counts.mapInArrow(run, "k int, below long, above long").groupBy("k").agg(F.sum("below").alias("below"), F.sum("above").alias("above")).collect()
+    below, above = np.zeros(len(edges) + 1, np.int64), np.zeros(len(edges) + 1, np.int64)
+    for r in rows:
+        below[r["k"]], above[r["k"]] = r["below"], r["above"]
+    smaller, larger = np.cumsum(below), np.cumsum(above[::-1])[::-1]
+    return {c: (int(smaller[k]), int(larger[k + 1])) for k, c in enumerate(at)}
+
+
 def percentile(rows: DataFrame, name: str, nth: Decimal) -> DataFrame:
     """One row: the value, null without any, and how many values were looked at."""
     if not 0 <= nth <= 100:
@@ -35,7 +73,7 @@ def percentile(rows: DataFrame, name: str, nth: Decimal) -> DataFrame:
     scale = kind.scale if isinstance(kind, T.DecimalType) else 0
     whole = (F.col(name) * 10**scale).cast("long") if scale else F.unix_micros(name) if isinstance(kind, T.TimestampType) else F.col(name).cast("long")
     counts = rows.filter(F.col(name).isNotNull()).groupBy(whole.alias("v")).agg(F.count("*").alias("n"))
-    n, low, high, distinct = counts.agg(F.sum("n"), F.min("v"), F.max("v"), F.count("*")).first()
+    n, low, high = counts.agg(F.sum("n"), F.min("v"), F.max("v")).first()
     schema = T.StructType([T.StructField("value", kind), T.StructField("count", T.LongType())])
     if not n:
         return spark.createDataFrame([(None, 0)], schema)
@@ -44,14 +82,16 @@ def percentile(rows: DataFrame, name: str, nth: Decimal) -> DataFrame:
         at = low
     elif not greater:
         at = high
-    elif distinct <= LOCAL:
-        pdf = counts.orderBy("v").toPandas()
-        values, total = pdf["v"].to_numpy(), pd.Series(pdf["n"]).cumsum().to_numpy()
-        upto = lambda i: int(total[i - 1]) if i else 0
-        at = bisect(low, high, less, greater, lambda c: upto(values.searchsorted(c, "left")), lambda c: n - upto(values.searchsorted(c, "right")))
     else:
-        many = lambda cond: counts.filter(cond).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        at = bisect(low, high, less, greater, lambda c: many(F.col("v") < c), lambda c: many(F.col("v") > c))
+        known: dict[int, tuple[int, int]] = {}
+
+        def look(c: int) -> tuple[int, int]:
+            """How many values are smaller than c and how many larger; a pass answers for the steps after c, too."""
+            if c not in known:
+                known.update(_ranks(counts, candidates(span[0], span[1], STEPS)))
+            return known[c]
+
+        at = bisect(low, high, less, greater, lambda c: look(c)[0], lambda c: look(c)[1], span := [low, high])
     if scale:
         value = Decimal(at).scaleb(-scale)
     elif isinstance(kind, T.TimestampType):

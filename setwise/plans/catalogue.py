@@ -135,6 +135,11 @@ call("pql_delete", "orders", "Delete(Row(status='F')) Count(All())", "SELECT cou
 
 add("apply_expression", lambda s, d: arrays.apply_program(engine(s, d), "parts", parse("Row(size > 40)")[0], "size * 2 + 1"), "SELECT _id, size * 2 + 1 AS value FROM t_parts WHERE size > 40")
 add("apply_reduce", lambda s, d: arrays.apply_program(engine(s, d), "parts", None, "+/ size * size"), "SELECT CAST(sum(size * size) AS BIGINT) AS value FROM t_parts")
+call("pql_apply", "parts", "Apply(Row(size > 40), 'size * 2 + 1')", "SELECT _id, size * 2 + 1 AS value FROM t_parts WHERE size > 40")
+call("pql_apply_reduce", "parts", "Apply('size * size', '+/ _')", "SELECT CAST(sum(size * size) AS BIGINT) AS value FROM t_parts")
+call("pql_arrow", "parts", "Arrow(Row(size=5), header=['name', 'size'])", "SELECT _id, name, size FROM t_parts WHERE size = 5")
+QUERIES["pql_variables"] = lambda s, d: engine(s, d).query("parts", "Intersect(Row(size > $least), Row(brand=$brand))", {"least": 20, "brand": "Brand#11"})
+SQL["pql_variables"] = WITH + "SELECT _id FROM t_parts WHERE size > 20 AND brand = 'Brand#11'"
 add("arrow_fetch", lambda s, d: arrays.arrow(engine(s, d), "parts", parse("Row(size=5)")[0], ["name", "size"]), "SELECT _id, name, size FROM t_parts WHERE size = 5")
 
 # SQL: relations
@@ -154,7 +159,11 @@ sql("sql_group_by_having", "SELECT status, priority, count(*) AS n, sum(cents) A
 sql("sql_distinct", "SELECT DISTINCT status, priority FROM t_orders")
 sql("sql_order_top", "SELECT TOP(12) _id, price FROM t_orders ORDER BY price DESC, _id", "SELECT _id, price FROM t_orders ORDER BY price DESC, _id LIMIT 12")
 sql("sql_order_limit", "SELECT _id, status FROM t_orders ORDER BY status, _id DESC LIMIT 9")
-sql("sql_limit_offset", "SELECT _id FROM t_orders ORDER BY _id LIMIT 9 OFFSET 4")
+sql("sql_top_subquery", "SELECT _id FROM t_parts WHERE _id IN (SELECT TOP(7) _id FROM t_parts ORDER BY price DESC, _id) AND size > 0", "SELECT _id FROM (SELECT _id, size FROM t_parts ORDER BY price DESC, _id LIMIT 7) WHERE size > 0")
+sql("sql_top_derived", "SELECT o._id, x.name FROM t_orders o INNER JOIN (SELECT TOP(3) _id, name FROM t_customers ORDER BY _id) AS x ON o.custkey = x._id", "SELECT o._id, x.name FROM t_orders o JOIN (SELECT _id, name FROM t_customers ORDER BY _id LIMIT 3) x ON o.custkey = x._id")
+sql("sql_flatten_alias", "SELECT array_join(c.priorities, '') AS p, count(*) AS n FROM t_customers c WITH (flatten(priorities)) INNER JOIN nation k ON k.n_nationkey = c.nation GROUP BY c.priorities", "SELECT v AS p, count(*) AS n FROM t_customers JOIN members USING (_id) GROUP BY v")
+sql("sql_rangeq_alias", "SELECT p._id, size(u.types) AS n FROM t_parts AS p INNER JOIN t_users AS u ON u._id = p._id WHERE RANGEQ(u.types, '2024-01-05T00:00:00', '2024-01-06T00:00:00')", "SELECT u._id, CAST(count(h.v) AS INTEGER) AS n FROM (SELECT DISTINCT _id FROM hits WHERE _id IN (SELECT _id FROM t_parts)) u LEFT JOIN (SELECT DISTINCT * FROM hits) h ON h._id = u._id AND h.ts >= TIMESTAMP '2024-01-05' AND h.ts < TIMESTAMP '2024-01-06' GROUP BY u._id", {"types": "YMDH"})
+sql("sql_percentile", "SELECT percentile(cents, 0) AS low, count(*) AS n, percentile(cents, 100) AS high FROM t_orders WHERE status = 'F'", "SELECT min(cents) AS low, count(*) AS n, max(cents) AS high FROM t_orders WHERE status = 'F'")
 sql("sql_flatten_group_by", "SELECT array_join(priorities, '') AS p, count(*) AS n, sum(nation) AS s FROM t_customers WITH (flatten(priorities)) GROUP BY priorities", "SELECT v AS p, count(*) AS n, CAST(sum(nation) AS BIGINT) AS s FROM t_customers JOIN members USING (_id) GROUP BY v")
 sql("sql_flatten_distinct", "SELECT DISTINCT array_join(priorities, '') AS p FROM t_customers WITH (flatten(priorities))", "SELECT DISTINCT v AS p FROM members")
 sql("sql_rangeq", "SELECT _id, size(types) AS n FROM t_users WHERE RANGEQ(types, '2024-01-05T00:00:00', '2024-01-06T00:00:00')", "SELECT u._id, CAST(count(h.v) AS INTEGER) AS n FROM (SELECT DISTINCT _id FROM hits) u LEFT JOIN (SELECT DISTINCT * FROM hits) h ON h._id = u._id AND h.ts >= TIMESTAMP '2024-01-05' AND h.ts < TIMESTAMP '2024-01-06' GROUP BY u._id", {"types": "YMDH"})
@@ -172,7 +181,11 @@ sql("agg_corr", "SELECT flag, CAST(corr(quantity, price) AS DOUBLE) AS c FROM t_
 
 sql("op_and_or", "SELECT _id FROM t_orders WHERE (status = 'F' OR cents > 90) AND priority <> '5-LOW'")
 sql("op_comparison", "SELECT _id FROM t_parts WHERE size <> 5 AND size != 6 AND price >= 901.1 AND size <= 30 AND size > 2 AND price < 1000")
-sql("op_arithmetic", "SELECT _id, size + 2 AS a, size - 3 AS b, size * 4 AS c, CAST(size / 7 AS BIGINT) AS d, size % 7 AS e, -size AS f FROM t_parts", "SELECT _id, size + 2 AS a, size - 3 AS b, size * 4 AS c, size // 7 AS d, size % 7 AS e, -size AS f FROM t_parts")
+sql("op_arithmetic", "SELECT _id, size + 2 AS a, size - 3 AS b, size * 4 AS c, size / 7 AS d, size % 7 AS e, -size AS f FROM t_parts", "SELECT _id, size + 2 AS a, size - 3 AS b, size * 4 AS c, size // 7 AS d, size % 7 AS e, -size AS f FROM t_parts")
+sql("op_int_division", "SELECT _id, size / 7 AS a, (size - 25) / 4 AS b, -size / 3 * 2 AS c, sum(size) / count(*) AS d FROM t_parts GROUP BY _id, size", "SELECT _id, size // 7 AS a, CAST(trunc((size - 25) / 4) AS BIGINT) AS b, CAST(trunc(-size / 3) AS BIGINT) * 2 AS c, size AS d FROM t_parts")
+sql("op_decimal_division", "SELECT _id, CAST(price / 7 AS DECIMAL(18,2)) AS a FROM t_parts", "SELECT _id, CAST((CAST(price * 100 AS BIGINT) // 7) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2)) AS a FROM t_parts")
+sql("op_set_compare", "SELECT a._id, b._id AS other FROM t_customers a INNER JOIN t_customers b ON a.nation = b.nation AND a.segment = b.segment AND a._id < b._id WHERE a.priorities = b.priorities AND a.priorities != ['1-URGENT']", "SELECT a._id, b._id AS other FROM t_customers a JOIN t_customers b ON a.nation = b.nation AND a.segment = b.segment AND a._id < b._id JOIN (SELECT _id, list(DISTINCT v) AS p FROM members GROUP BY _id) x ON x._id = a._id JOIN (SELECT _id, list(DISTINCT v) AS p FROM members GROUP BY _id) y ON y._id = b._id WHERE list_has_all(x.p, y.p) AND NOT list_contains(x.p, '1-URGENT')")
+sql("op_cast_whole", "SELECT _id, CAST('5000000000' AS INT) AS a, CAST(size AS ID) AS b, CAST(price AS DECIMAL(1)) AS c, CAST(size > 9 AS INT) AS d, CAST(price AS STRING) AS e FROM t_parts", "SELECT _id, 5000000000 AS a, size AS b, CAST(price AS DECIMAL(38,1)) AS c, CAST(size > 9 AS BIGINT) AS d, CAST(price AS VARCHAR) AS e FROM t_parts")
 sql("op_bitwise", "SELECT _id, size & 6 AS a, size | 9 AS b, ~size AS c, size << 2 AS d, size >> 1 AS e FROM t_parts")
 sql("op_concat", "SELECT _id, brand || '-' || type AS x FROM t_parts")
 sql("op_like", "SELECT _id FROM t_parts WHERE name LIKE 'RED%'", "SELECT _id FROM t_parts WHERE name ILIKE 'red%'")
@@ -197,7 +210,7 @@ def fn(name: str, expression: str, oracle: str, table: str = "t_parts") -> None:
 fn("reverse", "REVERSE(name)", "reverse(name)")
 fn("lower", "LOWER(brand)", "lower(brand)")
 fn("upper", "UPPER(name)", "upper(name)")
-fn("char", "CHAR(CAST(65 + size % 26 AS INT))", "chr(CAST(65 + size % 26 AS INTEGER))")
+fn("char", "CHAR(65 + size % 26)", "chr(CAST(65 + size % 26 AS INTEGER))")
 fn("ascii", "ASCII(SUBSTRING(name, 1, 1))", "ascii(substr(name, 2, 1))")
 fn("substring", "SUBSTRING(name, 2, 3)", "substr(name, 3, 3)")
 fn("substring_rest", "SUBSTRING(name, 2)", "substr(name, 3)")
@@ -226,7 +239,7 @@ fn("datetimeadd_day", "CAST(DATETIMEADD('D', 40, orderdate) AS TIMESTAMP_NTZ)",
 fn("datetimeadd_month", "CAST(DATETIMEADD('M', 1, orderdate) AS TIMESTAMP_NTZ)", "date_trunc('month', orderdate) + INTERVAL 1 MONTH + (orderdate - date_trunc('month', orderdate))", "t_orders")
 fn("datetimediff_day", "DATETIMEDIFF('D', orderdate, TIMESTAMP '2000-01-01')", "CAST(trunc(epoch_us(TIMESTAMP '2000-01-01' - orderdate) / 86400000000.0) AS BIGINT)", "t_orders")
 fn("datetimediff_month", "DATETIMEDIFF('M', orderdate, TIMESTAMP '2000-01-01')", "12 * (2000 - year(orderdate)) + 1 - month(orderdate)", "t_orders")
-fn("datetimefromparts", "CAST(DATETIMEFROMPARTS(2001, 2, CAST(1 + size % 28 AS INT), 3, 4, 5, 6) AS TIMESTAMP_NTZ)", "make_timestamp(2001, 2, 1 + size % 28, 3, 4, 5.006)")
+fn("datetimefromparts", "CAST(DATETIMEFROMPARTS(2001, 2, 1 + size % 28, 3, 4, 5, 6) AS TIMESTAMP_NTZ)", "make_timestamp(2001, 2, 1 + size % 28, 3, 4, 5.006)")
 fn("totimestamp", "CAST(TOTIMESTAMP(size * 100000, 's') AS TIMESTAMP_NTZ)", "make_timestamp(size * 100000 * 1000000)")
 fn("current_date", "CURRENT_DATE <= CURRENT_TIMESTAMP", "TRUE")
 
@@ -262,7 +275,9 @@ statements("stmt_bulk_csv", ["BULK INSERT INTO parts (_id, name, size) MAP (0 id
 statements("stmt_bulk_ndjson", ["""BULK INSERT INTO parts (_id, name) MAP ('$.k' id, '$.a.b' string) FROM '{"k": 90000004, "a": {"b": "deep"}}' WITH FORMAT 'NDJSON' INPUT 'STREAM'""", "SELECT _id, name FROM parts WHERE _id > 90000000"], "SELECT CAST(90000004 AS BIGINT) AS _id, 'deep' AS name")
 statements("stmt_model_predict", ["CREATE MODEL m WITH (modeltype 'linear_regression', labels ['y']) AS SELECT _id, size, 2 * size + 1 AS y FROM parts", "PREDICT USING m SELECT _id, size FROM parts"], "SELECT _id, size, CAST(2 * size + 1 AS DECIMAL(38,2)) AS prediction FROM t_parts")
 QUERIES["stmt_model_predict"] = lambda s, d, run=QUERIES["stmt_model_predict"]: run(s, d).withColumn("prediction", F.round("prediction", 2).cast("decimal(38,2)"))
-statements("stmt_show_columns", ["SELECT name FROM system_table_ddl"], "SELECT 'parts' AS name")
+statements("stmt_show_columns", ["SHOW COLUMNS FROM parts"], "SELECT CAST(name AS VARCHAR) AS name, CAST(type AS VARCHAR) AS type, CAST(scale AS INTEGER) AS scale, CAST(min AS BIGINT) AS min, CAST(max AS BIGINT) AS max, CAST(NULL AS VARCHAR) AS timequantum, CAST(NULL AS VARCHAR) AS ttl FROM (VALUES ('_id', 'id', NULL, NULL, NULL), ('name', 'string', NULL, NULL, NULL), ('type', 'string', NULL, NULL, NULL), ('size', 'int', NULL, 0, 1000000), ('price', 'decimal', 2, NULL, NULL)) t(name, type, scale, min, max)")
+statements("stmt_system_tables", ["SELECT name FROM system_table_ddl"], "SELECT 'parts' AS name")
+statements("stmt_databases", ["CREATE DATABASE d1 WITH UNITS 4 COMMENT 'one'", "CREATE DATABASE d2", "ALTER DATABASE d1 SET UNITS 2", "DROP DATABASE d2", "SHOW DATABASES"], "SELECT 'd1' AS name, CAST(2 AS BIGINT) AS units, 'one' AS description")
 
 
 def _bulk_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,10 +47,9 @@ def bisected(values: list[int], nth: int) -> int:
     return at
 
 
-@pytest.mark.parametrize("local", [True, False])
-def test_inner_percentiles(spark, sf_dir, monkeypatch, local) -> None:
-    if not local:
-        monkeypatch.setattr(percentile, "LOCAL", 0)
+@pytest.mark.parametrize("steps", [1, 10])
+def test_inner_percentiles(spark, sf_dir, monkeypatch, steps) -> None:
+    monkeypatch.setattr(percentile, "STEPS", steps)
     cents = [int(r["o_totalprice"]) % 100 for r in table(sf_dir, "orders") if r["o_orderstatus"] == "F"]
     prices = [round(r["p_retailprice"] * 100) for r in table(sf_dir, "part")]
     got = QUERIES["pql_percentile_50"](spark, sf_dir).first()
