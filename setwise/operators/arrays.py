@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -21,8 +22,17 @@ def arrow(engine: Engine, index: str, call: Call | None, header: list[str] | Non
     return rows.select("_id", *header) if header else rows
 
 
-def apply_program(engine: Engine, index: str, call: Call | None, program: str) -> DataFrame:
-    """An expression over columns (+ - * / and parentheses), or a reduction such as '+/ a * b': one column, value."""
+def apply_program(engine: Engine, index: str, call: Call | None, program: str, reduce: str = "_") -> DataFrame:
+    """An expression over columns (+ - * / and parentheses), or a reduction such as '+/ a * b': one column, value.
+
+    A second program reduces the first one's values, which it calls `_`.
+    """
+    if reduce.strip() != "_":
+        name = next((n for n in REDUCTIONS if reduce.strip().startswith(n)), None)
+        if name is None:
+            raise CallError(f"{reduce!r} is no reduction")
+        text = re.sub(r"(?<!\w)_(?!\w)", "value", reduce.strip()[len(name) :])
+        return apply_program(engine, index, call, program).agg(REDUCTIONS[name](F.expr(text)).alias("value"))
     rows, text = engine.matching(index, call), program.strip()
     for name, made in REDUCTIONS.items():
         if text.startswith(name):

@@ -55,13 +55,22 @@ class _Scan:
         return F.coalesce(F.col(name), F.lit(False))
 
 
+    def flag_values(self, column: str, found: DataFrame) -> Column:
+        """Records whose value is among those of a frame."""
+        name = f"__in{self.flags}"
+        self.flags += 1
+        values = found.select(F.col("value").alias(f"{name}_v"), F.lit(True).alias(name)).distinct()
+        self.df = self.df.join(values, F.col(column) == F.col(f"{name}_v"), "left").drop(f"{name}_v")
+        return F.coalesce(F.col(name), F.lit(False))
+
+
 class Engine:
     def __init__(self, tables: dict[str, Table]):
         self.tables = tables
 
-    def query(self, index: str, text: str) -> DataFrame:
+    def query(self, index: str, text: str, variables: dict[str, Any] | None = None) -> DataFrame:
         """The answer to the last call of a text."""
-        return [self.execute(index, c) for c in parse(text)][-1]
+        return [self.execute(index, c) for c in parse(text, variables)][-1]
 
     def execute(self, index: str, call: Call) -> DataFrame:
         index = self._index(call, index)
@@ -86,6 +95,8 @@ class Engine:
         return other
 
     def ids(self, index: str, call: Call) -> DataFrame:
+        if self._index(call, index) == index and (call.name == "limit" or (call.name == "all" and call.args.keys() & {"limit", "offset"})):
+            return self._limited(self.ids(index, call.children[0]) if call.children else self.tables[index].df.select("_id"), call)  # no need of a flag
         return self.matching(index, call).select("_id")
 
     def matching(self, index: str, call: Call | None) -> DataFrame:
@@ -150,12 +161,23 @@ class Engine:
             out = F.lit(False)
             for c in call.children:
                 name = _field(c)
+                if c.name == "rows" and not c.children and not c.args.keys() - {"like", "field", "_field"}:
+                    out = out | self._any_like(scan.table, name, c.args.get("like"))
+                    continue
+                if not scan.table.is_set(name):
+                    out = out | scan.flag_values(name, self.execute(index, c))
+                    continue
                 found = self.execute(index, c).select(F.col("value").alias("__v"))
                 rows = scan.table.df.select("_id", scan.table.values(name).alias("__v"))
                 out = out | scan.flag(rows.join(found, "__v", "left_semi"))
             return out
         raise CallError(f"{call.name} is no set of records")
 
+    def _any_like(self, table: Table, name: str, pattern: str | None) -> Column:
+        """Whether a record has a value of a field, one that a pattern fits if there is one."""
+        fits = (lambda x: x.like(pattern)) if pattern is not None else (lambda x: x.isNotNull())
+        return F.coalesce(F.exists(table.members(name), fits) if table.is_set(name) else fits(F.col(name)), F.lit(False))
+
     def _any_of(self, table: Table, name: str, values: Column, call: Call) -> Column:
         if table.is_set(name):
             return F.coalesce(F.arrays_overlap(table.members(name, call.args.get("from"), call.args.get("to")), values), F.lit(False))
@@ -365,6 +387,18 @@ class Engine:
     def _delete(self, index: str, call: Call) -> DataFrame:
         return self._written(index, writes.delete(self.tables[index], self.ids(index, call.children[0])))
 
+    def _apply(self, index: str, call: Call) -> DataFrame:
+        from setwise.operators import arrays
+
+        if len(call.children) > 1 or not 1 <= len(call.positional) <= 2:
+            raise CallError("Apply() takes a set, a program and a reduction")
+        return arrays.apply_program(self, index, call.children[0] if call.children else None, *call.positional)
+
+    def _arrow(self, index: str, call: Call) -> DataFrame:
+        from setwise.operators import arrays
+
+        return arrays.arrow(self, index, call.children[0] if call.children else None, call.args.get("header"))
+
     def _includescolumn(self, index: str, call: Call) -> DataFrame:
         rows = self.matching(index, call.children[0]).filter(F.col("_id") == call.args["column"])
         return rows.agg((F.count("*") > 0).alias("included"))

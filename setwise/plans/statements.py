@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,14 +75,21 @@ class Session:
             r"SHOW\s+TABLES": lambda m, _: self.spark.createDataFrame([(k, v["comment"]) for k, v in self.store.catalog["tables"].items()], "name string, description string"),
             r"SHOW\s+COLUMNS\s+FROM\s+(\w+)": self._columns,
             r"SHOW\s+CREATE\s+TABLE\s+(\w+)": lambda m, _: self.spark.createDataFrame([(self.ddl(m[1]),)], "ddl string"),
-            r"SHOW\s+DATABASES": lambda m, _: self.spark.createDataFrame([(self.store.root,)], "name string"),
+            r"SHOW\s+DATABASES": lambda m, _: self.spark.createDataFrame([(k, v["units"], v["comment"]) for k, v in self.store.catalog["databases"].items()], "name string, units long, description string"),
+            r"(CREATE|ALTER|DROP)\s+DATABASE\s+(IF\s+(?:NOT\s+)?EXISTS\s+)?(\w+)": self._database,
         }
 
-    def _views(self) -> None:
-        for name in self.store.catalog["tables"]:
+    def _views(self, text: str, seen: frozenset[str] = frozenset()) -> None:
+        """Make the tables and views that a statement names known to Spark, whatever another store called so."""
+        named = {t.strip('`"') for t in tokens(text)}
+        for name in named & self.store.catalog["tables"].keys():
             self.store.read(name).createOrReplaceTempView(name)
-        for name, text in self.store.catalog["views"].items():
-            dialect.select(self.spark, text, self._quantums()).createOrReplaceTempView(name)
+        for name in (named & self.store.catalog["views"].keys()) - seen:
+            body = self.store.catalog["views"][name]
+            self._views(body, seen | {name})
+            dialect.select(self.spark, body, self._quantums()).createOrReplaceTempView(name)
+        if not any(n.startswith("system_") for n in named):
+            return
         for name in ("views", "models", "functions"):
             self.spark.createDataFrame([(k, str(v)) for k, v in self.store.catalog[name].items()], "name string, definition string").createOrReplaceTempView(f"system_{name}")
         self.spark.createDataFrame([(k, self.ddl(k)) for k in self.store.catalog["tables"]], "name string, ddl string").createOrReplaceTempView("system_table_ddl")
@@ -90,7 +98,7 @@ class Session:
         return {c["name"]: c["quantum"] for t in self.store.catalog["tables"].values() for c in t["columns"] if c.get("quantum")}
 
     def select(self, text: str) -> DataFrame:
-        self._views()
+        self._views(text)
         return dialect.select(self.spark, text, self._quantums())
 
     def ddl(self, name: str) -> str:
@@ -112,6 +120,7 @@ class Session:
     def _drop(self, m: re.Match, _: str) -> None:
         if m[2] in self.store.catalog["tables"] or not m[1]:
             self.store.drop(m[2])
+            self.spark.catalog.dropTempView(m[2])
 
     def _alter(self, m: re.Match, rest: str) -> None:
         meta, rows = self.store.meta(m[1]), self.store.read(m[1])
@@ -126,6 +135,9 @@ class Session:
                 raise DialectError("_id can't be dropped")
             meta["columns"] = [c for c in meta["columns"] if c["name"] != a[1]]
         elif a := re.match(r"RENAME\s+(?:COLUMN\s+)?(\w+)\s+TO\s+(\w+)", rest, re.I):
+            names = [c["name"] for c in meta["columns"]]
+            if "_id" in (a[1], a[2]) or a[1] not in names or a[2] in names:
+                raise DialectError(f"{a[1]!r} can't be renamed to {a[2]!r}")
             rows = rows.withColumnRenamed(a[1], a[2])
             for c in meta["columns"]:
                 c["name"] = a[2] if c["name"] == a[1] else c["name"]
@@ -147,9 +159,34 @@ class Session:
     def _forget(self, kind: str, name: str, lenient: str | None) -> None:
         if self.store.catalog[kind].pop(name, None) is None and not lenient:
             raise DialectError(f"{name!r} not found")
+        if kind == "views":
+            self.spark.catalog.dropTempView(name)
         self.store.save()
 
-    def _upsert(self, name: str, rows: DataFrame, batch: str | None = None) -> None:
+    def _database(self, m: re.Match, rest: str) -> None:
+        known, verb, name = self.store.catalog["databases"], m[1].lower(), m[3]
+        if (name in known) == (verb == "create"):
+            if m[2]:
+                return
+            raise DialectError(f"database {name!r} {'already exists' if verb == 'create' else 'not found'}")
+        if verb == "drop":
+            del known[name]
+        else:
+            units, comment = re.search(r"\bUNITS\s+(\d+)", rest, re.I), re.search(r"\bCOMMENT\s+'([^']*)'", rest, re.I)
+            old = known.get(name, {"units": 0, "comment": ""})
+            known[name] = {"units": int(units[1]) if units else old["units"], "comment": comment[1] if comment else old["comment"]}
+        self.store.save()
+
+    def expire(self, now: str) -> None:
+        """Drop the members of time-bucketed sets that are older than their column's ttl."""
+        for name, meta in self.store.catalog["tables"].items():
+            for c in meta["columns"]:
+                if c.get("ttl") and c.get("quantum"):
+                    amount, unit = re.fullmatch(r"(\d+)\s*([a-z]+)", c["ttl"].lower()).groups()
+                    long = {"d": "day", "h": "hour", "m": "minute", "s": "second"}.get(unit, unit)
+                    self.store.write(name, writes.expire(self.store.table(name), c["name"], f"{amount} {long}", now))
+
+    def _upsert(self, name: str, rows: DataFrame, batch: tuple[str, int] | None = None) -> None:
         if len(rows.columns) < 2 + (writes.ORDER in rows.columns) or "_id" not in rows.columns:
             raise DialectError("an insert needs _id and another column")
         self.store.write(name, writes.upsert(self.store.table(name), writes.check_rows(rows, self.store.limits(name))), batch)
@@ -177,10 +214,14 @@ class Session:
             rows = rows.strip().removeprefix(",")
             if len(values) != len(names):
                 raise DialectError("mismatch in the count of expressions and target columns")
-            selects.append("SELECT " + ", ".join(f"{self._typed(v, schema[n].dataType)} AS {n}" for v, n in zip(values, names, strict=True)) + f", {len(selects)} AS {writes.ORDER}")
-        text = " UNION ALL ".join(selects)
+            selects.append("(" + ", ".join(self._typed(v, schema[n].dataType) for v, n in zip(values, names, strict=True)) + f", {len(selects)})")
+        text = f"SELECT * FROM VALUES {', '.join(selects)} AS v({', '.join(names)}, {writes.ORDER})"
         functions.register(self.spark, text)
-        self._upsert(m[1], self.spark.sql(text))
+        try:
+            rows = self.spark.sql(text)
+        except AnalysisException:  # an expression that is no constant
+            rows = self.spark.sql(" UNION ALL ".join(f"SELECT stack(1, {x[1:-1]}) AS ({', '.join(names)}, {writes.ORDER})" for x in selects))
+        self._upsert(m[1], rows)
 
     def _bulk(self, m: re.Match, rest: str) -> None:
         schema = self.store.schema(m[1])

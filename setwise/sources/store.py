@@ -1,4 +1,6 @@
-"""A folder of tables: each write makes a new version of Parquet files, then one small catalogue file points to it.
+"""A folder of tables: each write makes a new version of Parquet files, then a new small catalogue file points to it.
+
+Catalogue files are numbered and come into being by a rename; the highest number counts, so a crash leaves the one before.
 
 Readers of an older version keep it until the next write but one; there is one writer at a time.
 """
@@ -6,6 +8,7 @@ Readers of an older version keep it until the next write but one; there is one w
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from typing import Any
 
@@ -38,19 +41,25 @@ class Store:
         self._fs.mkdirs(self._path(self.root))
         self.catalog: dict[str, Any] = self._read()
 
+    def _numbers(self) -> list[int]:
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.root))]
+        return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"catalog-(\d+)\.json", n)))
+
     def _read(self) -> dict[str, Any]:
-        p = self._path(f"{self.root}/catalog.json")
-        if not self._fs.exists(p):
-            return {"tables": {}, "views": {}, "models": {}, "functions": {}}
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/catalog.json", wholetext=True).collect()))
+        numbers = self._numbers()
+        found = {} if not numbers else json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/catalog-{numbers[-1]}.json", wholetext=True).collect()))
+        return {"tables": {}, "views": {}, "models": {}, "functions": {}, "databases": {}} | found
 
     def save(self) -> None:
-        p, new = self._path(f"{self.root}/catalog.json"), self._path(f"{self.root}/_{uuid.uuid4().hex}.json")
+        numbers = self._numbers()
+        p, new = self._path(f"{self.root}/catalog-{(numbers or [0])[-1] + 1}.json"), self._path(f"{self.root}/_{uuid.uuid4().hex}.json")
         out = self._fs.create(new, True)
         out.write(bytearray(json.dumps(self.catalog).encode()))
         out.close()
-        self._fs.delete(p, False)
-        self._fs.rename(new, p)
+        if not self._fs.rename(new, p):
+            raise OSError(f"{p} couldn't be written")
+        for k in numbers[:-1]:
+            self._fs.delete(self._path(f"{self.root}/catalog-{k}.json"), False)
 
     def create(self, name: str, columns: list[dict[str, Any]], comment: str = "") -> None:
         """columns: name, type, scale, and the options min, max, quantum, ttl."""
@@ -79,10 +88,10 @@ class Store:
     def limits(self, name: str) -> dict[str, tuple[int | None, int | None]]:
         return {c["name"]: (c.get("min"), c.get("max")) for c in self.meta(name)["columns"] if "min" in c or "max" in c}
 
-    def write(self, name: str, rows: DataFrame, batch: str | None = None) -> None:
-        """Swap in the table's rows; a batch that was written before changes nothing."""
+    def write(self, name: str, rows: DataFrame, batch: tuple[str, int] | None = None) -> None:
+        """Swap in the table's rows; a stream's batch with a number that was written before changes nothing."""
         meta = self.meta(name)
-        if batch is not None and batch in meta.get("batches", []):
+        if batch is not None and batch[1] <= meta.get("batches", {}).get(batch[0], -1):
             return
         path = f"{self.root}/{name}/{uuid.uuid4().hex}"
         names = [f.name for f in self.schema(name).fields]
@@ -91,7 +100,7 @@ class Store:
             self._fs.delete(self._path(meta["old"]), True)
         meta["old"], meta["path"] = meta["path"], path
         if batch is not None:
-            meta["batches"] = [*meta.get("batches", []), batch][-1000:]
+            meta["batches"] = {**meta.get("batches", {}), batch[0]: batch[1]}
         self.save()
 
     def drop(self, name: str) -> None:

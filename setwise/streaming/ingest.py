@@ -15,7 +15,7 @@ def ingest(stream: DataFrame, store: Store, table: str, checkpoint: str, delete:
     def batch(rows: DataFrame, number: int) -> None:
         t = store.table(table)
         new = writes.delete(t, rows) if delete else writes.upsert(t, writes.check_rows(rows, store.limits(table)))
-        store.write(table, new, f"{checkpoint}#{number}")
+        store.write(table, new, (checkpoint, number))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

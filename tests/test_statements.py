@@ -96,7 +96,7 @@ def test_stream_batches_are_idempotent(session, spark, tmp_path) -> None:
     got = dict(rows(session.run("SELECT _id, i1 FROM t")))
     assert got[50] == 0 and got[51] == 1 and got[1] in (100, 101) and len(got) == 4
     before = session.store.meta("t")["path"]
-    session.store.write("t", session.store.read("t"), f"file://{tmp_path}/ck#0")
+    session.store.write("t", session.store.read("t"), (f"file://{tmp_path}/ck", 0))
     assert session.store.meta("t")["path"] == before
 
 
