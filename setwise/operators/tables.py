@@ -39,9 +39,6 @@ class Table:
     def is_set(self, name: str) -> bool:
         return isinstance(self.type(name), T.ArrayType)
 
-    def is_numeric(self, name: str) -> bool:
-        return isinstance(self.type(name), T.NumericType | T.TimestampType | T.TimestampNTZType | T.DateType)
-
     def in_range(self, name: str, ts: Column, start: str | None, stop: str | None) -> Column:
         """Whether a value's time bucket is within [start, stop), at the quantum's finest unit; untimed values are not."""
         bucket = F.date_trunc(_UNITS[self.quantums.get(name, "YMDH")[-1]], ts)

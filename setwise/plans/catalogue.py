@@ -13,6 +13,7 @@ from setwise.plans import dialect
 from setwise.plans.calls import parse
 from setwise.plans.samples import WITH, engine, index_table, read, views
 from setwise.plans.statements import Session
+from setwise.sources.store import shared_folder
 from setwise.streaming.ingest import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -248,8 +249,7 @@ fn("current_date", "CURRENT_DATE <= CURRENT_TIMESTAMP", "TRUE")
 
 
 def _session(spark: SparkSession) -> Session:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/setwise"
-    return Session(spark, f"{folder.rstrip('/')}/store-{uuid.uuid4().hex}")
+    return Session(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
 
 
 def statements(name: str, texts: list[str], oracle: str) -> None:
@@ -280,6 +280,17 @@ statements("stmt_system_tables", ["SELECT name FROM system_table_ddl"], "SELECT
 statements("stmt_databases", ["CREATE DATABASE d1 WITH UNITS 4 COMMENT 'one'", "CREATE DATABASE d2", "ALTER DATABASE d1 SET UNITS 2", "DROP DATABASE d2", "SHOW DATABASES"], "SELECT 'd1' AS name, CAST(2 AS BIGINT) AS units, 'one' AS description")
 
 
+def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the orders gets another status."""
+    session = _session(spark)
+    session.run("CREATE TABLE orders (_id id, status string, cents int)")
+    session.store.write("orders", index_table(spark, sf_dir, "orders"))
+    session.run("CREATE TABLE changes (_id id, status string)")
+    session.store.write("changes", index_table(spark, sf_dir, "orders").filter("cents < 10").select("_id", F.lit("U").alias("status")))
+    session._upsert("orders", session.run("SELECT _id, status FROM changes"))
+    return session.run("SELECT _id, status, cents FROM orders")
+
+
 def _bulk_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     session = _session(spark)
     session.run("CREATE TABLE p (_id id, brand string)")
@@ -298,5 +309,6 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.run("SELECT _id, array_join(array_sort(types), ',') AS types FROM seen")
 
 
+add("stmt_upsert", _upsert, "SELECT _id, CASE WHEN cents < 10 THEN 'U' ELSE status END AS status, cents FROM t_orders")
 add("stmt_bulk_parquet", _bulk_parquet, "SELECT _id, brand FROM t_parts")
 add("stream_ingest", _stream, "SELECT _id, string_agg(DISTINCT v, ',' ORDER BY v) AS types FROM hits GROUP BY _id")

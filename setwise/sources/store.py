@@ -21,6 +21,16 @@ from setwise.operators.tables import Table
 TYPES = {"id": T.LongType(), "int": T.LongType(), "string": T.StringType(), "bool": T.BooleanType(), "timestamp": T.TimestampType(), "idset": T.ArrayType(T.LongType()), "stringset": T.ArrayType(T.StringType())}
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; unset, one of our own in local mode alone."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return "file:///tmp/checkpoints/setwise"
+
+
 def spark_type(name: str, scale: int = 0) -> T.DataType:
     name = name.lower()
     if name == "decimal":
