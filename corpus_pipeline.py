@@ -57,7 +57,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = common.materialize(docs, "stage")
+            out = common.materialize(out, "stage")
+            common.discard(docs)
+        docs = out
     return docs
