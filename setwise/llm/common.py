@@ -14,6 +14,8 @@ from setwise.sources.store import shared_folder
 
 #: Bytes of Arrow data that Python gets at once: bounds a worker's memory whatever the length of texts.
 BATCH_BYTES = 16 << 20
+#: Parts that join_hot() deals one key to.
+SALTS = 64
 #: Lower-cases A-Z only and turns every other ASCII character but letters and digits into a space.
 ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -64,6 +66,18 @@ def _clean() -> None:
             return
 
 
+def join_hot(left: DataFrame, right: DataFrame, on: str, by: str) -> DataFrame:
+    """Inner join with a right side that is unique on `on`, where one key may hold a large part of left.
+
+    Left is dealt by the key and SALTS salts of column `by`; right comes once for each pair of them that left has, found
+    by a distinct that combines before its shuffle. So no task gets more than a hot key's SALTS-th part, at any size.
+    """
+    salt = F.pmod(F.xxhash64(by, F.lit(13)), F.lit(SALTS)).cast("int")
+    left = left.withColumn("salt", salt)
+    dealt = left.select(on, "salt").distinct().join(right, on)
+    return left.join(dealt, [on, "salt"]).drop("salt")
+
+
 def fold(doc_id: str | Column, n: int) -> Column:
     """crc32 of doc_id as text, modulo n; null for a null doc_id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % n

@@ -233,7 +233,10 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int, least: float, widt
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (its smallest node) from links (a, b): large-star and small-star steps until nothing moves."""
+    """node, component (its smallest node) from links (a, b): large-star and small-star steps until nothing moves.
+
+    A hub's links are dealt to many tasks by their other end.
+    """
 
     def both(e: DataFrame) -> DataFrame:
         return e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -241,12 +244,12 @@ def components(links: DataFrame) -> DataFrame:
     def large(e: DataFrame) -> DataFrame:  # larger neighbours of a node go to its smallest neighbour or itself
         e = both(e)
         least = e.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        return e.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return common.join_hot(e.filter("b > a"), least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
     def small(e: DataFrame) -> DataFrame:  # a node and its smaller neighbours go to the smallest of them
         e = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = e.groupBy("a").agg(F.min("b").alias("m"))
-        e = e.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
+        e = common.join_hot(e, least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
         return e.filter("a <> b").distinct()
 
     state = None
@@ -273,23 +276,24 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # 2: buckets of more than one class
     keys = classes.select(F.explode("bands").alias("key"), "rep")
     shared = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("centre")).filter("members > 1")
-    buckets = common.materialize(keys.join(shared, "key"), "buckets")
+    buckets = common.materialize(common.join_hot(keys, shared, "key", "rep"), "buckets")
     of = classes.select("rep", "sig")
-    star = buckets.filter("rep <> centre").select("rep", "centre").distinct().join(of, "rep").join(of.select(F.col("rep").alias("centre"), F.col("sig").alias("sig2")), "centre")
+    star = common.materialize(buckets.filter("rep <> centre").select("rep", "centre").distinct().join(of, "rep"), "pairs")
+    star = common.join_hot(star, of.select(F.col("rep").alias("centre"), F.col("sig").alias("sig2")), "centre", "rep")
     stars = common.materialize(star.filter(estimate(_matches("sig", "sig2")) >= least).select(F.col("rep").alias("a"), F.col("centre").alias("b")), "stars")
     label = components(stars)
     member = buckets.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).select("key", "rep", "members", "comp")
     # buckets with the same members are one; those of two are settled by their star
     open_ = member.filter("members > 2").groupBy("key", "members").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64("rep", F.lit(7)).cast("decimal(38,0)")).alias("s")).filter("lo < hi")
     open_ = open_.groupBy("members", "x", "s").agg(F.min("key").alias("key")).select("key")
-    todo = member.join(open_, "key").join(of, "rep")
+    todo = common.join_hot(member, open_, "key", "rep").join(of, "rep")
     todo = _blocked(todo, F.ceil(F.col("members") / BLOCK), "key").select("key", "i", "j", "own", "rep", "comp", "sig")
     more = todo.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep").mapInArrow(lambda x: _similar(x, least), "a long, b long")
     label = common.materialize(components(stars.unionAll(more)), "estimated").withColumnRenamed("node", "rep").withColumnRenamed("component", "comp")
     # 3: their members, in blocks
     blocks = F.ceil(F.greatest(F.sum("n") * 8 / BLOCK_SET_BYTES, F.count("*") / BLOCK_MEMBERS)).cast("int")
     member = label.join(classes.select("rep", "digest", "sig", "n"), "rep")
-    member = member.join(member.groupBy("comp").agg(blocks.alias("nb")), "comp").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    member = common.join_hot(member, member.groupBy("comp").agg(blocks.alias("nb")), "comp", "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
     member = common.materialize(member, "members")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
 
@@ -313,7 +317,7 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         largest = parts.groupBy("comp").agg(F.max_by("part", F.struct("count", "part")).alias("largest"), F.sum("bytes").alias("bytes"), F.sum("count").alias("count"), F.max(F.struct("count", "part", "bytes")).alias("x"))
         left_bytes, left_count = F.col("bytes") - F.col("x.bytes"), F.col("count") - F.col("x.count")
         rest = largest.filter(left_count > 0).select("comp", "largest", F.ceil(F.greatest(left_bytes * 8 / BLOCK_SET_BYTES, left_count / BLOCK_MEMBERS)).cast("int").alias("ns"))
-        many = many.join(rest, "comp")
+        many = common.join_hot(many, rest, "comp", "rep")
         outside = F.transform(F.sequence(zero, F.col("nb") - 1), lambda j: block(F.pmod(F.xxhash64("rep"), F.col("ns")), j, yes, no))
         every = F.transform(F.sequence(zero, F.col("ns") - 1), lambda i: block(i, F.col("own"), no, yes))
         second = many.withColumn("blocks", F.when(F.col("part") != F.col("largest"), F.concat(every, outside)).otherwise(every))
@@ -323,9 +327,8 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     own = linked.join(several, "doc_id").select("doc_id", "digest").distinct().join(classes.select("digest", "rep"), "digest")
     done = components(links.unionAll(own.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
     named = classes.select("digest", "rep").join(done.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = sigs.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    known = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    return out.select("doc_id", "n_shingles", F.when(known, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    alone = sigs.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return common.join_hot(linked.select("doc_id", "n_shingles", "digest"), named, "digest", "doc_id").select("doc_id", "n_shingles", F.col("component").alias("component_id")).unionAll(alone)
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
