@@ -14,7 +14,7 @@ from setwise.sources.store import shared_folder
 
 #: Bytes of Arrow data that Python gets at once: bounds a worker's memory whatever the length of texts.
 BATCH_BYTES = 16 << 20
-#: Parts that join_hot() deals one key to.
+#: Parts that one key is dealt to, the bits of a long at most.
 SALTS = 64
 #: Lower-cases A-Z only and turns every other ASCII character but letters and digits into a space.
 ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -66,16 +66,42 @@ def _clean() -> None:
             return
 
 
+def _salt(by: str) -> Column:
+    return F.pmod(F.xxhash64(by, F.lit(13)), F.lit(SALTS)).cast("int")
+
+
+def _dealt(right: DataFrame) -> DataFrame:
+    """Each row of right once for each salt in its mask."""
+    salts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.call_function("getbit", F.col("mask"), k) == 1)
+    return right.withColumn("salt", F.explode(salts)).drop("mask")
+
+
+def _join_salted(left: DataFrame, dealt: DataFrame, on: str) -> DataFrame:
+    # a merge, so that the driver never holds and sends one of these tables, whatever their size
+    return left.join(dealt.hint("merge"), [on, "salt"]).drop("salt")
+
+
 def join_hot(left: DataFrame, right: DataFrame, on: str, by: str) -> DataFrame:
     """Inner join with a right side that is unique on `on`, where one key may hold a large part of left.
 
-    Left is dealt by the key and SALTS salts of column `by`; right comes once for each pair of them that left has, found
-    by a distinct that combines before its shuffle. So no task gets more than a hot key's SALTS-th part, at any size.
+    Left is dealt by the key and SALTS salts of column `by`; right comes once for each pair of them that left has. A
+    mask of a key's salts, combined before its shuffle, tells the pairs. So no task gets more than a hot key's
+    SALTS-th part, at any size.
+    """
+    left = left.withColumn("salt", _salt(by))
+    masks = left.groupBy(on).agg(F.bit_or(F.expr("shiftleft(1L, salt)")).alias("mask"))
+    return _join_salted(left, _dealt(masks.join(right, on)), on)
+
+
+def with_totals(left: DataFrame, on: str, by: str, *totals: Column, where: str | None = None, rows: str | None = None) -> DataFrame:
+    """Left's rows (those that `rows` holds for) with aggregates over all rows of their key, where `where` holds for them.
+
+    Dealt like join_hot(), but one aggregation gives the totals and the masks.
     """
-    salt = F.pmod(F.xxhash64(by, F.lit(13)), F.lit(SALTS)).cast("int")
-    left = left.withColumn("salt", salt)
-    dealt = left.select(on, "salt").distinct().join(right, on)
-    return left.join(dealt, [on, "salt"]).drop("salt")
+    left = left.withColumn("salt", _salt(by))
+    per = left.groupBy(on).agg(*totals, F.bit_or(F.expr("shiftleft(1L, salt)")).alias("mask"))
+    per = per.filter(where) if where else per
+    return _join_salted(left.filter(rows) if rows else left, _dealt(per), on)
 
 
 def fold(doc_id: str | Column, n: int) -> Column:

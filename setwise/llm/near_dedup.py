@@ -242,15 +242,13 @@ def components(links: DataFrame) -> DataFrame:
         return e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
     def large(e: DataFrame) -> DataFrame:  # larger neighbours of a node go to its smallest neighbour or itself
-        e = both(e)
-        least = e.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        return common.join_hot(e.filter("b > a"), least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = common.with_totals(both(e), "a", "b", F.least(F.min("b"), F.first("a")).alias("m"), rows="b > a")
+        return e.select(F.col("b").alias("a"), F.col("m").alias("b"))
 
     def small(e: DataFrame) -> DataFrame:  # a node and its smaller neighbours go to the smallest of them
         e = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = e.groupBy("a").agg(F.min("b").alias("m"))
-        e = common.join_hot(e, least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
-        return e.filter("a <> b").distinct()
+        e = common.with_totals(e, "a", "b", F.min("b").alias("m"))
+        return e.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
     state = None
     e = common.materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
@@ -275,8 +273,7 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = common.materialize(linked.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "bands")).alias("x")).select("digest", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), "x.sig", "x.bands"), "classes")
     # 2: buckets of more than one class
     keys = classes.select(F.explode("bands").alias("key"), "rep")
-    shared = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("centre")).filter("members > 1")
-    buckets = common.materialize(common.join_hot(keys, shared, "key", "rep"), "buckets")
+    buckets = common.materialize(common.with_totals(keys, "key", "rep", F.count("*").alias("members"), F.min("rep").alias("centre"), where="members > 1"), "buckets")
     of = classes.select("rep", "sig")
     star = common.materialize(buckets.filter("rep <> centre").select("rep", "centre").distinct().join(of, "rep"), "pairs")
     star = common.join_hot(star, of.select(F.col("rep").alias("centre"), F.col("sig").alias("sig2")), "centre", "rep")
@@ -293,7 +290,7 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # 3: their members, in blocks
     blocks = F.ceil(F.greatest(F.sum("n") * 8 / BLOCK_SET_BYTES, F.count("*") / BLOCK_MEMBERS)).cast("int")
     member = label.join(classes.select("rep", "digest", "sig", "n"), "rep")
-    member = common.join_hot(member, member.groupBy("comp").agg(blocks.alias("nb")), "comp", "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    member = common.with_totals(member, "comp", "rep", blocks.alias("nb")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
     member = common.materialize(member, "members")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
 
