@@ -89,7 +89,7 @@ def test_one_key_is_dealt(spark, small, sf_dir, tmp_path) -> None:
     n = 300
     for name in ("nation", "orders", "lineitem", "customer", "events"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(1).write.parquet(f"{tmp_path}/{name}.parquet")
-    spark.range(n).selectExpr("id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "'t' AS p_type", "7 AS p_size", "cast(id % 100 AS double) AS p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(n).coalesce(1).selectExpr("id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "'t' AS p_type", "7 AS p_size", "cast(id % 100 AS double) AS p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
     got = QUERIES["sql_theta_join"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
     assert Counter((r["a"], r["b"]) for r in got) == Counter((a, b) for a in range(n) for b in range(n) if a % 100 < b % 100)
     tasks = Counter(r["task"] for r in got)
