@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from setwise.sources.store import shared_folder
 
 #: Bytes of Arrow data that Python gets at once: bounds a worker's memory whatever the length of texts.
 BATCH_BYTES = 16 << 20
+#: States of about 10 KB that the SQL parser's cache holds in the driver, within bounded_parser().
+PARSER_STATES = 1000
 #: Parts that one key is dealt to, the bits of a long at most.
 SALTS = 64
 #: Lower-cases A-Z only and turns every other ASCII character but letters and digits into a space.
@@ -32,12 +36,45 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
 
 
+@contextmanager
+def bounded_parser(spark: SparkSession) -> Iterator[None]:
+    """Bound what the SQL parser remembers of the expressions parsed within: else the driver holds it for good."""
+    settings = {"spark.sql.parser.manageParserCaches": "true", "spark.sql.parser.parserDfaCacheFlushThreshold": str(PARSER_STATES)}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def trim(spark: SparkSession) -> bool:
+    """Give back to the system what the driver's JVM has freed outside its heap, where compilers and codecs leave gaps.
+
+    False for a JVM that can't.
+    """
+    jvm = spark.sparkContext._jvm
+    try:
+        # by reflection, for the class of the server is not open to others
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(server, args)
+    except Py4JError:
+        return False
+    return True
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, frees nothing early."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/setwise-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
+    trim(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out

@@ -195,6 +195,11 @@ def _fresh(name: str, docs: DataFrame) -> str:
 
 def surrogates(docs: DataFrame, key: str, count: str | None = "n_entities") -> DataFrame:
     """docs with text rewritten under a key, in its own columns, and the number of entities in a column `count`, if asked for."""
+    with common.bounded_parser(docs.sparkSession):
+        return _surrogates(docs, key, count)
+
+
+def _surrogates(docs: DataFrame, key: str, count: str | None) -> DataFrame:
     later = later_streams(entities(docs), key)
     out, attempt = docs, lambda _: "0"
     row_id, streams, made = (_fresh(x, docs) for x in ("pii_row", "pii_streams", "pii_made"))
